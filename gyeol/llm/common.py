@@ -38,7 +38,7 @@ def spans_sql(text: str, pattern: str) -> str:
     found = f"regexp_extract_all({text}, {pattern}, 0)"
     pieces = f"split({text}, {pattern}, -1)"
     return f"""CASE WHEN {text} RLIKE {pattern} THEN aggregate(
-        arrays_zip({found} AS f, slice({pieces}, 1, size({found})) AS p),
+        zip_with({found}, slice({pieces}, 1, size({found})), (f, p) -> named_struct('f', f, 'p', p)),
         named_struct('at', 0, 'out', cast(array() AS array<struct<s:int,e:int,m:string>>)),
         (a, x) -> named_struct('at', a.at + char_length(x.p) + char_length(x.f),
             'out', array_append(a.out, named_struct('s', a.at + char_length(x.p), 'e', a.at + char_length(x.p) + char_length(x.f), 'm', x.f))),
