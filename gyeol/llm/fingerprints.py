@@ -58,17 +58,14 @@ def successors(docs: DataFrame) -> DataFrame:
     base = base.withColumn("block", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("doc_id") - F.lit(lo or 0)) / F.lit(step))).cast("long"))
     base = base.withColumn("canon", canonical(F.col("text"))).withColumn("fp", fingerprint(F.col("canon"))).drop("canon")
     w = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "fp", F.xxhash64("text"))
-    mine = base.select("*", F.lead(F.struct("text", "fp")).over(w).alias("next"))
-    # the first document of each block, and the block before it
-    first = base.groupBy("block").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "fp", F.xxhash64("text").alias("h"))).alias("f"))
+    mine = base.select("*", F.lead(F.struct("text", "fp")).over(w).alias("next"), F.lag(F.lit(True)).over(w).isNull().alias("head"))
+    # the block after each block, by ids alone; its first document comes from the same exchange as all the others
     sup = Window.partitionBy("sup").orderBy("block")
-    heads = first.select("block").withColumn("sup", F.floor(F.col("block") / SUPERBLOCK).cast("long"))
+    heads = base.select("block").distinct().withColumn("sup", F.floor(F.col("block") / SUPERBLOCK).cast("long"))
     tops = heads.groupBy("sup").agg(F.min("block").alias("top"))
     tops = tops.select("sup", F.coalesce(F.lead("top").over(Window.orderBy("sup")), F.min("top").over(Window.orderBy("sup").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("top"))
     after = heads.select("block", "sup", F.lead("block").over(sup).alias("nb")).join(tops, "sup").select(F.col("block").alias("from_block"), F.coalesce("nb", "top").alias("block"))
-    key = first.select("block", F.col("f.doc_id").alias("fd"), F.col("f.fp").alias("ffp"), F.col("f.h").alias("fh")).join(after, "block")
-    found = base.join(key, (base["block"] == key["block"]) & base["doc_id"].eqNullSafe(key["fd"]) & (base["fp"] == key["ffp"]) & (F.xxhash64(base["text"]) == key["fh"]))
-    found = found.select("from_block", F.struct("text", "fp").alias("wrap")).groupBy("from_block").agg(F.first("wrap").alias("wrap"))
+    found = mine.where("head").select("block", F.struct("text", "fp").alias("wrap")).join(after, "block").select("from_block", "wrap")
     last = mine.where("next IS NULL").join(found, F.col("block") == F.col("from_block"), "left").select("doc_id", "text", "fp", F.coalesce("next", "wrap").alias("next"))
     return mine.where("next IS NOT NULL").select("doc_id", "text", "fp", "next").unionByName(last)
 
