@@ -1,6 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its lower-cased words and their beginnings of four to eight letters, hashed into 2^24 buckets. The buckets that tell the two labels apart most (by the z score of their document
+Terms are lower-cased words and their beginnings of four to eight letters, hashed into 2^24 buckets; that a bucket occurs once, twice or four
+times at least are three binary features of a text. The features that tell the two labels apart most (by the z score of their document
 frequencies) are the machine's inputs: a bias, linear weights, and K factors each, so that pairs of terms count beyond their sum.
 The machine is fitted on the driver, on a sample of labelled rows that is bounded by SAMPLE and the same on every run; scoring reads whole texts.
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,7 @@ INPUTS, LEAST_Z = 512, 5.0
 FACTORS = 4
 THRESHOLD = 0.7
 BUCKETS = 1 << 24
+LEVELS = (1, 2, 4)
 WORD = re.compile(r"\w+")
 
 
@@ -38,8 +41,13 @@ def terms_of(word: str) -> set[int]:
     return {zlib.crc32(t.encode()) % BUCKETS for t in (word, *(f"{word[:k]}-" for k in range(4, 9) if len(word) >= k))}
 
 
-def buckets_of(text: str | None) -> set[int]:
-    return {b for w in set(WORD.findall((text or "").lower())) for b in terms_of(w)}
+def features_of(text: str | None) -> list[int]:
+    """feature * 3 + level for each level that the bucket's count reaches."""
+    n: dict[int, int] = {}
+    for w, k in Counter(WORD.findall((text or "").lower())).items():
+        for b in terms_of(w):
+            n[b] = n.get(b, 0) + k
+    return [b * 3 + i for b, k in n.items() for i, least in enumerate(LEVELS) if k >= least]
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> DataFrame:
@@ -51,20 +59,20 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> DataF
 
 
 def inputs(rows: DataFrame, n1: int, n0: int) -> list[int]:
-    """The buckets of the highest |z|, INPUTS at most; counted where the rows are."""
+    """The features of the highest |z|, INPUTS at most; counted where the rows are."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found: dict[int, list[int]] = {}
             for toxic, text in zip(b["toxic"], b["text"], strict=True):
-                for k in buckets_of(text):
+                for k in features_of(text):
                     found.setdefault(k, [0, 0])[1 if toxic == 1 else 0] += 1
-            yield pd.DataFrame({"bucket": list(found), "c1": [x[1] for x in found.values()], "c0": [x[0] for x in found.values()]})
+            yield pd.DataFrame({"feature": list(found), "c1": [x[1] for x in found.values()], "c0": [x[0] for x in found.values()]})
 
-    c = rows.mapInPandas(count, "bucket long, c1 long, c0 long").groupBy("bucket").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+    c = rows.mapInPandas(count, "feature long, c1 long, c0 long").groupBy("feature").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
     p = (F.col("c1") + F.col("c0") + 0.5) / (n1 + n0 + 1)
     z = F.abs(F.col("c1") / n1 - F.col("c0") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    return [r.bucket for r in c.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(INPUTS).collect()]
+    return [r.feature for r in c.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(INPUTS).collect()]
 
 
 def training_rows(rows: DataFrame, index: dict[int, int]) -> pd.DataFrame:
@@ -72,7 +80,7 @@ def training_rows(rows: DataFrame, index: dict[int, int]) -> pd.DataFrame:
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "inputs": [sorted(index[k] for k in buckets_of(t) if k in index) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "inputs": [sorted(index[k] for k in features_of(t) if k in index) for t in b["text"]]})
 
     return rows.mapInPandas(terms, "doc_id long, toxic int, inputs array<int>").toPandas()
 
@@ -83,6 +91,7 @@ class Machine:
     def __init__(self, index: dict[int, int], bias: float, w: np.ndarray, v: np.ndarray) -> None:
         self.index, self.bias, self.w, self.v = index, bias, w, v
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.buckets = {k // 3 for k in index}
 
     def logit(self, on: list[int]) -> float:
         if not on:
@@ -92,15 +101,16 @@ class Machine:
         return float(self.bias + self.w[on].sum() + 0.5 * ((total * total).sum() - (s * s).sum()))
 
     def score(self, text: str | None) -> float:
-        get, index, on = self.seen.get, self.index, set()
-        for w in set(WORD.findall((text or "").lower())):
-            i = get(w)
-            if i is None:
+        get, n = self.seen.get, {}
+        for w, k in Counter(WORD.findall((text or "").lower())).items():
+            of = get(w)
+            if of is None:
                 if len(self.seen) > 300_000:  # words of one worker, not of the corpus
                     self.seen.clear()
-                i = self.seen[w] = tuple(index[k] for k in terms_of(w) if k in index)
-            if i:
-                on.update(i)
+                of = self.seen[w] = tuple(b for b in terms_of(w) if b in self.buckets)
+            for b in of:
+                n[b] = n.get(b, 0) + k
+        on = {self.index[f] for b, k in n.items() for i, least in enumerate(LEVELS) if k >= least and (f := b * 3 + i) in self.index}
         return 1 / (1 + float(np.exp(-np.clip(self.logit(sorted(on)), -30, 30))))
 
 
