@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyeol.llm import chat, fingerprints, licenses, pieces, pii, toxicity
+from gyeol.llm import chat, decontamination, fingerprints, licenses, pieces, pii, toxicity
 from gyeol.llm.common import table
 
 
@@ -34,11 +34,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fingerprints": op1_fingerprints, "op3_pii": op3_pii, "op4_licenses": op4_licenses, "op6_chat": op6_chat, "op8_toxicity": op8_toxicity, "op10_sentencepiece": op10_sentencepiece}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fingerprints": op1_fingerprints, "op3_pii": op3_pii, "op4_licenses": op4_licenses, "op6_chat": op6_chat, "op8_toxicity": op8_toxicity, "op9_decontamination": op9_decontamination, "op10_sentencepiece": op10_sentencepiece}
 
 ORACLES: dict[str, str] = {
     "op6_chat": r"""

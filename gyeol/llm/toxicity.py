@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -148,11 +149,12 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     if machine is None:
         return docs.withColumn("__score", F.lit(0.0))
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.assign(__score=[machine.score(t) for t in b["text"]])
+            scores = pa.array([machine.score(t) for t in b["text"].to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, scores], [*b.schema.names, "__score"])
 
-    return docs.mapInPandas(rows, StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
+    return docs.mapInArrow(rows, StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
