@@ -47,7 +47,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def successors(docs: DataFrame) -> DataFrame:
-    """doc_id, text, canon, fp and those of the next document by ascending doc_id (after the last: the first).
+    """doc_id, text, fp, next_text, next_fp: of each and of the next document by ascending doc_id (after the last: the first).
 
     Documents are dealt out by blocks of about BLOCK consecutive ids, so a whole text moves once; the last of each block finds its
     successor through the first documents of the blocks, of which only ids are sorted, in blocks again.
@@ -55,27 +55,29 @@ def successors(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lo, hi, n = base.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
     step = max(1, ((hi - lo + 1) * BLOCK) // n) if n else 1
-    base = base.withColumn("block", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("doc_id") - F.lit(lo or 0)) / F.lit(step))).cast("long"))
+    # never null, so that no filter on it is pushed below the exchange and all branches share one
+    base = base.withColumn("block", F.coalesce(F.floor((F.col("doc_id") - F.lit(lo or 0)) / F.lit(step)).cast("long"), F.lit(-1).cast("long")))
     base = base.withColumn("canon", canonical(F.col("text"))).withColumn("fp", fingerprint(F.col("canon"))).drop("canon")
     w = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "fp", F.xxhash64("text"))
-    mine = base.select("*", F.lead(F.struct("text", "fp")).over(w).alias("next"), F.lag(F.lit(True)).over(w).isNull().alias("head"))
+    mine = base.select("*", F.lead("text").over(w).alias("next_text"), F.lead("fp").over(w).alias("next_fp"), F.lag(F.lit(True)).over(w).isNull().alias("head"))
     # the block after each block, by ids alone; its first document comes from the same exchange as all the others
     sup = Window.partitionBy("sup").orderBy("block")
     heads = base.select("block").distinct().withColumn("sup", F.floor(F.col("block") / SUPERBLOCK).cast("long"))
     tops = heads.groupBy("sup").agg(F.min("block").alias("top"))
     tops = tops.select("sup", F.coalesce(F.lead("top").over(Window.orderBy("sup")), F.min("top").over(Window.orderBy("sup").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("top"))
     after = heads.select("block", "sup", F.lead("block").over(sup).alias("nb")).join(tops, "sup").select(F.col("block").alias("from_block"), F.coalesce("nb", "top").alias("block"))
-    found = mine.where("head").select("block", F.struct("text", "fp").alias("wrap")).join(after, "block").select("from_block", "wrap")
-    last = mine.where("next IS NULL").join(found, F.col("block") == F.col("from_block"), "left").select("doc_id", "text", "fp", F.coalesce("next", "wrap").alias("next"))
-    return mine.where("next IS NOT NULL").select("doc_id", "text", "fp", "next").unionByName(last)
+    found = mine.where("head").select("block", F.col("text").alias("wrap_text"), F.col("fp").alias("wrap_fp")).join(after, "block").drop("block")
+    last = mine.where("next_fp IS NULL").join(found, F.col("block") == F.col("from_block"), "left")
+    last = last.select("doc_id", "text", "fp", F.col("wrap_text").alias("next_text"), F.col("wrap_fp").alias("next_fp"))
+    return mine.where("next_fp IS NOT NULL").select("doc_id", "text", "fp", "next_text", "next_fp").unionByName(last)
 
 
 def compared(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id."""
     half = F.floor(F.char_length("text") / 2).cast("int")
     df = successors(docs).withColumn("n_chars", F.char_length("text").cast("long"))
-    df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next.text"), F.lit(1), half)))
-    df = df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", fingerprint(canonical(F.col("edited"))).alias("edited_fingerprint"), F.col("next.fp").alias("next_fp"))
+    df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half)))
+    df = df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", fingerprint(canonical(F.col("edited"))).alias("edited_fingerprint"), "next_fp")
     one = classes(docs)
     per = one.groupBy("fingerprint").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n_texts"))
     like = lambda a, b: (a == b).cast("double")
