@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyeol.llm import chat, decontamination, fingerprints, licenses, pieces, pii, toxicity
+from gyeol.llm import chat, decontamination, fingerprints, html, licenses, pieces, pii, toxicity
 from gyeol.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -42,7 +46,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fingerprints": op1_fingerprints, "op3_pii": op3_pii, "op4_licenses": op4_licenses, "op6_chat": op6_chat, "op8_toxicity": op8_toxicity, "op9_decontamination": op9_decontamination, "op10_sentencepiece": op10_sentencepiece}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fingerprints": op1_fingerprints, "op3_pii": op3_pii, "op4_licenses": op4_licenses, "op5_html": op5_html, "op6_chat": op6_chat, "op8_toxicity": op8_toxicity, "op9_decontamination": op9_decontamination, "op10_sentencepiece": op10_sentencepiece}
 
 ORACLES: dict[str, str] = {
     "op6_chat": r"""
