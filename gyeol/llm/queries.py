@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyeol.llm import chat, decontamination, fingerprints, html, licenses, pieces, pii, toxicity
+from gyeol.llm import chat, decontamination, fingerprints, html, licenses, neardup, pieces, pii, toxicity
 from gyeol.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -46,9 +50,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fingerprints": op1_fingerprints, "op3_pii": op3_pii, "op4_licenses": op4_licenses, "op5_html": op5_html, "op6_chat": op6_chat, "op8_toxicity": op8_toxicity, "op9_decontamination": op9_decontamination, "op10_sentencepiece": op10_sentencepiece}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fingerprints": op1_fingerprints, "op2_neardup": op2_neardup, "op3_pii": op3_pii, "op4_licenses": op4_licenses, "op5_html": op5_html, "op6_chat": op6_chat, "op8_toxicity": op8_toxicity, "op9_decontamination": op9_decontamination, "op10_sentencepiece": op10_sentencepiece}
 
 ORACLES: dict[str, str] = {
+    "op2_neardup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS l FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(l) < 4 THEN array_to_string(l, ' ') ELSE array_to_string(l[k:k + 3], ' ') END AS g
+  FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 3, CASE WHEN len(l) > 0 THEN 1 ELSE 0 END) + 1)) AS k FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+y AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, y.b FROM r JOIN y ON r.b = y.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.b AS component_id, d.doc_id = m.b AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = d.doc_id""",
     "op6_chat": r"""
 WITH src AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
