@@ -54,7 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fingerprint
 
 ORACLES: dict[str, str] = {
     "op2_neardup": r"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS l FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(l) < 4 THEN array_to_string(l, ' ') ELSE array_to_string(l[k:k + 3], ' ') END AS g
   FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 3, CASE WHEN len(l) > 0 THEN 1 ELSE 0 END) + 1)) AS k FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
