@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyeol.llm import chat, decontamination, fingerprints, html, licenses, neardup, pieces, pii, toxicity
+from gyeol.llm import chat, decontamination, fingerprints, html, licenses, neardup, pieces, pii, suffixes, toxicity
 from gyeol.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.expand(rows))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,9 +54,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fingerprints": op1_fingerprints, "op2_neardup": op2_neardup, "op3_pii": op3_pii, "op4_licenses": op4_licenses, "op5_html": op5_html, "op6_chat": op6_chat, "op8_toxicity": op8_toxicity, "op9_decontamination": op9_decontamination, "op10_sentencepiece": op10_sentencepiece}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fingerprints": op1_fingerprints, "op2_neardup": op2_neardup, "op3_pii": op3_pii, "op4_licenses": op4_licenses, "op5_html": op5_html, "op6_chat": op6_chat, "op7_suffixes": op7_suffixes, "op8_toxicity": op8_toxicity, "op9_decontamination": op9_decontamination, "op10_sentencepiece": op10_sentencepiece}
 
 ORACLES: dict[str, str] = {
+    "op7_suffixes": r"""
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+w AS (SELECT r, k, md5_number(x[2 * k + 1:2 * k + 800]) AS h FROM (SELECT r, x, unnest(range(0, greatest(len(x) // 2 - 399, 0))) AS k FROM b)),
+d AS (SELECT r, k FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT r, k, CASE WHEN k - lag(k) OVER (PARTITION BY r ORDER BY k) <= 400 THEN 0 ELSE 1 END AS f FROM d),
+i AS (SELECT r, s, min(k) AS a, max(k) + 400 AS e FROM (SELECT r, k, sum(f) OVER (PARTITION BY r ORDER BY k) AS s FROM g) GROUP BY r, s),
+p AS (SELECT r, s, e, a, x[2 * coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) + 1:2 * a] AS before, lead(e) OVER (PARTITION BY r ORDER BY s) IS NULL AS last, x FROM i JOIN b USING (r)),
+q AS (SELECT r, string_agg(before || CASE WHEN last THEN x[2 * e + 1:] ELSE '' END, '' ORDER BY s) AS kept, sum(e - a) AS n, count(*) AS c FROM p GROUP BY r)
+SELECT doc_id, len(x) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM b LEFT JOIN q USING (r)""",
     "op2_neardup": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(l) < 4 THEN array_to_string(l, ' ') ELSE array_to_string(l[k:k + 3], ' ') END AS g
