@@ -1,6 +1,6 @@
 """Near-duplicate documents by bottom-k sketches.
 
-A document's set is its distinct four-word shingles, hashed by one function; its sketch is the SKETCH smallest hashes. Documents of equal sets form a
+A document's set is its distinct shingles of SHINGLE words (four; the pipeline takes five), hashed by one function; its sketch is the SKETCH smallest hashes. Documents of equal sets form a
 class, which one representative stands for. Each of a representative's KEYS smallest values is an inverted list; two sets of likeness 0.8 share none of them
 with probability 0.2^KEYS (below 1e-11), and sets of up to KEYS values never.
 
@@ -9,7 +9,7 @@ most values that occur in long lists (the centre of a group of edited copies), t
 are also listed by three consecutive values of their sketch, so that closer subgroups have pivots of their own, or are listed in full. Candidates whose union sketches
 estimate a likeness far below 0.8 go; full sets decide over the rest, and the links' components come from large-star and small-star rounds. No list, link or component is collected.
 
-Defined cases: fewer than four words are one shingle; null and empty texts have no set, are linked with nothing and are kept; equal sets are linked whatever their
+Defined cases: fewer words than a shingle has are one shingle; null and empty texts have no set, are linked with nothing and are kept; equal sets are linked whatever their
 texts; rows of one doc_id that differ are treated each on its own; a null doc_id is linked by its set like any other, and its component is the smallest id of it that is not null;
 other columns are left alone; an empty table gives no rows.
 """
@@ -63,11 +63,11 @@ class Shingles:
         return np.unique((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(1)).astype(np.int64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n (size of the set), d1, d2 (digest of the set), sketch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh = Shingles()
+        sh = Shingles(shingle)
         for b in batches:
             n, d1, d2, low = [], [], [], []
             for t in b["text"].to_pylist():
@@ -132,12 +132,12 @@ def chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The pairs whose full sets have a likeness of PERCENT / 100 at least."""
     need = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh = Shingles()
+        sh = Shingles(shingle)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([sh.of(t).tobytes() for t in b["text"].to_pylist()], pa.binary())], ["doc_id", "full"])
 
@@ -173,13 +173,13 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    sk = durable(sketches(docs))
+    sk = durable(sketches(docs, shingle))
     classes = durable(sk.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     reps = sk.join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).where(F.col("doc_id") == F.col("rep")).select("rep", "n", "sketch").dropDuplicates(["rep", "n"])
     reps = durable(reps)
-    links = durable(verified(durable(estimated(candidates(reps), reps)), docs))
+    links = durable(verified(durable(estimated(candidates(reps), reps)), docs, shingle))
     comp = components(links)
     named = classes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     # the copies of one set may be a third of all rows: their class is joined by a key that the copies share, which Spark splits where it is hot
@@ -187,9 +187,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs without those that another document of their group stands for; of rows with one doc_id one stays."""
-    got = durable(near_duplicates(docs))
+    got = durable(near_duplicates(docs, shingle))
     out = chosen(docs, got.where("NOT kept").select("doc_id").distinct(), "left_anti")
     again = got.where("kept").groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL")
     return out if again.isEmpty() else out.dropDuplicates(["doc_id"])
