@@ -10,10 +10,14 @@ give repeated rows; other columns are left alone; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +26,9 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_LIMIT = 64 << 20
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Bytes of text that are encoded at once.
-BATCH = 4 << 20
+#: Characters of text that are encoded at once, and distinct words that a worker remembers.
+BATCH, WORDS = 1 << 20, 300_000
+WORD = re.compile("\n+| *[^ \n]+| +")
 
 
 def fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -116,6 +121,44 @@ def build(m: Model):  # noqa: ANN201
     return tok
 
 
+class Encoder:
+    """Texts to ids, as the pipeline gives them. Where words can be encoded apart, each distinct one is encoded once (in batches, on several threads) and
+    remembered up to WORDS of them; else whole texts are encoded in batches."""
+
+    def __init__(self, model: Model) -> None:
+        from tokenizers import Tokenizer
+
+        self.pipeline = build(model)
+        self.apart = self.pipeline.pre_tokenizer is not None and not model.charsmap and not model.squeeze and model.dummy_prefix and model.escape and not any("\n" in p for p, _, _ in model.pieces)
+        self.words = Tokenizer(self.pipeline.model)
+        self.seen: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, four bytes each."""
+        if not self.apart:
+            return [np.array(e.ids, dtype=np.int32).tobytes() for e in self.pipeline.encode_batch_fast(texts, add_special_tokens=False)]
+        split = [self.split(t) for t in texts]
+        seen = self.seen
+        if len(seen) > WORDS:
+            seen.clear()
+        new = list(set(chain.from_iterable(split)).difference(seen))
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            marked = "\0".join(part).replace(" ", MARK).split("\0") if "\0" not in "".join(part) else [w.replace(" ", MARK) for w in part]
+            for w, e in zip(part, self.words.encode_batch_fast(marked, add_special_tokens=False), strict=True):
+                seen[w] = array("i", e.ids).tobytes()
+        get = seen.__getitem__
+        return [b"".join(map(get, ws)) for ws in split]
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """Words with the marks before them, and line ends; cut where no piece spans the place."""
+        if not text:
+            return []
+        text = " " + text.replace(MARK, " ")
+        return WORD.findall(text)
+
+
 def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
     """doc_id, n_chars, n_tokens, ids, round_trip: whether the ids decode to the text (as normalised)."""
     spark: SparkSession = docs.sparkSession
@@ -123,19 +166,21 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = parse(shared.value)
-        tok = build(model)
-        normal, told = tok.normalizer, table_of(model).__getitem__
+        enc = Encoder(model)
+        normal, told = enc.pipeline.normalizer, table_of(model).__getitem__
         for b in batches:
             for part in slices(b):
                 texts = [t or "" for t in part["text"].to_pylist()]
-                ids = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+                ids = enc.encode(texts)
+                flat = np.frombuffer(b"".join(ids), dtype=np.int32)
+                n = [len(x) // 4 for x in ids]
                 same = []
                 for t, x in zip(texts, ids, strict=True):
-                    back = joined(map(told, x), model.dummy_prefix)
+                    back = joined(map(told, np.frombuffer(x, dtype=np.int32).tolist()), model.dummy_prefix)
                     same.append(back == t or back == shown(normal, t))
-                n = [len(x) for x in ids]
+                ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"].cast(pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())],
+                    [part["doc_id"].cast(pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array(same, pa.bool_())],
                     ["doc_id", "n_chars", "n_tokens", "ids", "round_trip"],
                 )
 
