@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def once(key: tuple, make: Callable[[], object]) -> object:
+    """One object per worker process and key, whatever tasks come; only the last of each kind (key[0]) is kept."""
+    kept = sys.__dict__.setdefault("_gyeol_kept", {})
+    if kept.get(key[0], (None,))[0] != key:
+        kept[key[0]] = (key, make())
+    return kept[key[0]][1]
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import struct
+import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,15 +20,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from gyeol.llm.common import once
+
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes that a model file may have to be sent to every executor.
 MODEL_LIMIT = 64 << 20
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Characters of text that are encoded at once, and distinct words that a worker remembers.
-BATCH, WORDS = 1 << 20, 300_000
+BATCH, WORDS = 1 << 18, 100_000
 WORD = re.compile("\n+| *[^ \n]+| +")
 
 
@@ -128,7 +132,7 @@ class Encoder:
     def __init__(self, model: Model) -> None:
         from tokenizers import Tokenizer
 
-        self.pipeline = build(model)
+        self.model, self.table, self.pipeline = model, table_of(model), build(model)
         self.apart = self.pipeline.pre_tokenizer is not None and not model.charsmap and not model.squeeze and model.dummy_prefix and model.escape and not any("\n" in p for p, _, _ in model.pieces)
         self.words = Tokenizer(self.pipeline.model)
         self.seen: dict[str, bytes] = {}
@@ -142,8 +146,8 @@ class Encoder:
         if len(seen) > WORDS:
             seen.clear()
         new = list(set(chain.from_iterable(split)).difference(seen))
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        for k in range(0, len(new), 5_000):
+            part = new[k : k + 5_000]
             marked = "\0".join(part).replace(" ", MARK).split("\0") if "\0" not in "".join(part) else [w.replace(" ", MARK) for w in part]
             for w, e in zip(part, self.words.encode_batch_fast(marked, add_special_tokens=False), strict=True):
                 seen[w] = array("i", e.ids).tobytes()
@@ -165,9 +169,8 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
     shared = spark.sparkContext.broadcast(read_model(model_path))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = parse(shared.value)
-        enc = Encoder(model)
-        normal, told = enc.pipeline.normalizer, table_of(model).__getitem__
+        enc = once(("pieces", zlib.crc32(shared.value)), lambda: Encoder(parse(shared.value)))
+        model, normal, told = enc.model, enc.pipeline.normalizer, enc.table.__getitem__
         for b in batches:
             for part in slices(b):
                 texts = [t or "" for t in part["text"].to_pylist()]
@@ -211,8 +214,8 @@ def shown(normal, text: str) -> str:  # noqa: ANN001
 def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of about BATCH bytes, at least one each."""
     at = size = 0
-    for i, n in enumerate(b["text"].cast(pa.large_string()).to_pandas().str.len().fillna(0) if b.num_rows else []):
-        size += int(n)
+    for i, n in enumerate(pc.fill_null(pc.binary_length(b["text"]), 0).to_pylist()):
+        size += n
         if size >= BATCH:
             yield b.slice(at, i + 1 - at)
             at, size = i + 1, 0
