@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyeol.llm.common import durable
+from gyeol.llm.common import durable, once
 
 LENGTH, GRAM = 400, 64
 REACH = LENGTH - GRAM
@@ -31,6 +31,8 @@ WINDOW = REACH + 1
 SLOTS = 1 << 27
 BATCH = 2_048
 HUGE = 200_000
+#: Rows that a task sends at once.
+ROWS = 4_000
 #: Ids that may be sent to every executor; beyond it, texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -95,9 +97,9 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """h, n: how many anchors each gram has; summed per task first."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors()
+        anchors = once(("anchors",), Anchors)
         for b in batches:
-            found = [anchors.of(x)[1] for x in _bytes(b) if len(x) >= LENGTH]
+            found = [anchors.of(x)[1] for i in range(b.num_rows) if len(x := _bytes(b.slice(i, 1))[0]) >= LENGTH]
             h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
 
@@ -124,17 +126,27 @@ def _digest(left: bytes, right: bytes) -> int:
 
 
 def occurrences(docs: DataFrame, bits, huge: set[int], what: str) -> DataFrame:  # noqa: ANN001
-    """The anchors whose gram is in the bitmap. what: 'places' (h, cd, doc_id, d, at), 'contexts' (h, cd, left, right, n; a context once per batch, with
-    how often), or 'windows' of the huge grams (doc_id, d, start, w: a digest of LENGTH bytes)."""
+    """The anchors whose gram is in the bitmap. what: 'places' (h, cd, doc_id, d, at), 'contexts' (h, cd, left, right, n; a context's bytes once per task, with
+    how often, the bytes null where the task has sent them before), or 'windows' of the huge grams (doc_id, d, start, w: a digest of LENGTH bytes)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, big = Anchors(), np.array(sorted(huge), dtype=np.int64)
+        anchors, big = once(("anchors",), Anchors), np.array(sorted(huge), dtype=np.int64)
+        again: dict[tuple[int, int], int] = {}  # contexts that this task has sent, and how often they came again
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) if out else [[] for _ in schema]
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, schema, strict=True)], [k for k, _ in schema])
+            out.clear()
+            return made
+
         for b in batches:
-            out: list[tuple] = []
-            seen: dict[tuple[int, int], list] = {}
-            for doc, d, x in zip(b["doc_id"].to_pylist(), b["d"].to_pylist(), _bytes(b), strict=True):
+            for i in range(b.num_rows):
+                one = b.slice(i, 1)
+                x = _bytes(one)[0]
                 if len(x) < LENGTH:
                     continue
+                doc, d = one["doc_id"][0].as_py(), one["d"][0].as_py()
                 at, h = anchors.of(x)
                 ok = _known(bits.value, h)
                 in_big = np.isin(h, big) if len(big) else np.zeros(len(h), dtype=bool)
@@ -143,18 +155,25 @@ def occurrences(docs: DataFrame, bits, huge: set[int], what: str) -> DataFrame:
                     if what == "windows":
                         for s in range(max(0, p - REACH), min(p, len(x) - LENGTH) + 1):
                             out.append((doc, d, s, hashlib.blake2b(x[s : s + LENGTH], digest_size=16).digest()))
-                        continue
-                    left, right = x[max(0, p - REACH) : p], x[p : p + LENGTH]
-                    cd = _digest(left, right)
-                    if what == "places":
-                        out.append((g, cd, doc, d, p))
-                    elif (g, cd) in seen:
-                        seen[g, cd][4] += 1
                     else:
-                        seen[g, cd] = [g, cd, left[::-1], right, 1]
-            out = list(seen.values()) if what == "contexts" else out
-            cols = list(zip(*out, strict=True)) if out else [[] for _ in schema]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, schema, strict=True)], [k for k, _ in schema])
+                        left, right = x[max(0, p - REACH) : p], x[p : p + LENGTH]
+                        cd = _digest(left, right)
+                        if what == "places":
+                            out.append((g, cd, doc, d, p))
+                        elif (g, cd) in again:
+                            again[g, cd] += 1
+                        else:
+                            again[g, cd] = 0
+                            out.append((g, cd, left[::-1], right, 1))
+                    if len(out) >= ROWS:
+                        yield batch()
+        yield batch()
+        for (g, cd), n in again.items():
+            if n:
+                out.append((g, cd, None, None, n))
+                if len(out) >= ROWS:
+                    yield batch()
+        yield batch()
 
     long, binary = pa.int64(), pa.binary()
     schema = {
@@ -257,10 +276,10 @@ def resolve(contexts: DataFrame) -> DataFrame:
                 if h != now:
                     flush()
                     now, group = h, {}
-                if cd in group:
-                    group[cd][3] += n
-                else:
-                    group[cd] = [cd, left, right, n]
+                held = group.setdefault(cd, [cd, None, None, 0])
+                held[3] += n
+                if left is not None:
+                    held[1:3] = left, right
             yield batch()
             out.clear()
         flush()
