@@ -46,7 +46,7 @@ class Shingles:
         words = (text or "").encode(errors="surrogatepass").lower().split()
         if not words:
             return np.zeros(0, dtype=np.int64)
-        if len(self.seen) > 500_000:
+        if len(self.seen) > 150_000:
             self.seen.clear()
         seen, out = self.seen, []
         for w in words:

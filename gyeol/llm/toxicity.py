@@ -106,7 +106,7 @@ class Machine:
         for w, k in Counter(WORD.findall((text or "").lower())).items():
             of = get(w)
             if of is None:
-                if len(self.seen) > 300_000:  # words of one worker, not of the corpus
+                if len(self.seen) > 100_000:  # words of one worker, not of the corpus
                     self.seen.clear()
                 of = self.seen[w] = tuple(b for b in terms_of(w) if b in self.buckets)
             for b in of:
