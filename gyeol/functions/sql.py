@@ -37,10 +37,14 @@ def spans(query: str, options: Options | None = None, components: Components | N
     return found
 
 
-@F.pandas_udf("string")
-def nfc(texts: pd.Series) -> pd.Series:
-    """Composed form; Spark has no function of its own for it."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+def nfc():  # noqa: ANN201
+    """A function of a text column: its composed form, for which Spark has no function of its own."""
+
+    @F.pandas_udf("string")
+    def composed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return composed
 
 
 def token_boundary(c: Column, literal: str) -> Column:
@@ -53,4 +57,4 @@ def token_boundary(c: Column, literal: str) -> Column:
 def register(spark: SparkSession, name: str, query: str, options: Options | None = None, components: Components | None = None) -> None:
     """SELECT name(text) in SQL gives the byte spans of query."""
     spark.udf.register(name, spans(query, options, components))
-    spark.udf.register("nfc", nfc)
+    spark.udf.register("nfc", nfc())

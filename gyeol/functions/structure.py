@@ -124,7 +124,7 @@ class Components:
             kinds = set().union(*(PARENT.get(k, {k}) for k in kinds))
             if kinds & {"VCP"}:
                 host = token[:x]
-                return y == len(token) and bool(host) and (self.nominal_host(host) or not self.table.get(host)) and not self.whole(token, {"MM", "MAG", "NNG", "NNP", "VV", "VA"} - kinds)
+                return y == len(token) and bool(host) and self.nominal_host(host) and not self.whole(token, {"MM", "MAG", "NNG", "NNP", "VV", "VA"} - kinds)
             if x or (p.right and y < len(token) and not self.ending_then_particles(token, y) and not self.auxiliary_path(token, y)):
                 return False
             return not (self.whole(token, CORE_NOMINALS | {"MAG", "MM"}) and not self.whole(token, kinds))

@@ -57,7 +57,7 @@ def lines(df: DataFrame, text: str = "text", keep: list[str] | None = None, wher
     src = src if where is None else src.where(where)
     src = src.select(*keep, F.col(text).alias("__text"), F.posexplode(F.split(text, "\n", -1)).alias("__n", "line"))
     src = src.where((F.col("line") != "") | (F.col("__n") < F.size(F.split("__text", "\n", -1)) - 1))
-    before = F.when(F.col("__n") == 0, F.lit(0)).otherwise(F.octet_length(F.substring_index("__text", "\n", F.col("__n"))) + 1)
+    before = F.when(F.col("__n") == 0, F.lit(0)).otherwise(F.expr(r"octet_length(substring_index(__text, '\n', __n)) + 1"))
     return src.select(*keep, (F.col("__n") + 1).cast("long").alias("line_number"), before.cast("long").alias("byte_offset"), "line")
 
 

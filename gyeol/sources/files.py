@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TYPES = {"md": ["*.md", "*.markdown"], "txt": ["*.txt"], "py": ["*.py"], "rust": ["*.rs"], "js": ["*.js", "*.mjs"], "html": ["*.html", "*.htm"], "json": ["*.json", "*.jsonl"], "csv": ["*.csv", "*.tsv"], "toml": ["*.toml"], "yaml": ["*.yaml", "*.yml"]}
-MIXED = {"auto", "utf-8", "utf-16le", "utf-16be", "euc-kr"}
+#: Bytes of a file with a hidden name that the driver may read.
+SPECIAL = 16 << 20
+ENCODINGS = {"auto", "utf-8", "utf-16le", "utf-16be", "euc-kr"}
 
 
 def glob_regex(glob: str, anchored: bool | None = None) -> str:
@@ -59,9 +61,31 @@ def ignored(path: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
+def _special(spark: SparkSession, root: str) -> list[tuple[str, bytes]]:
+    """Files that Spark's file source leaves out, those whose own name begins with a dot or an underscore: (path under root, content). Listed and read on the
+    driver through Hadoop's file systems; such files are few and small (ignore files, settings), and one over SPECIAL bytes is an error."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = fs.resolvePath(top)
+    out, it = [], fs.listFiles(top, True)
+    while it.hasNext():
+        f = it.next()
+        path = f.getPath()
+        if path.getName()[:1] in "._":
+            if f.getLen() > SPECIAL:
+                raise ValueError(f"{path}: over {SPECIAL} bytes")
+            stream = fs.open(path)
+            try:
+                out.append((top.toUri().relativize(path.toUri()).getPath(), bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+            finally:
+                stream.close()
+    return out
+
+
 def read_files(spark: SparkSession, paths: list[str], globs: list[str] = (), types: list[str] = (), define: list[str] = (), hidden: bool = False, no_ignore: bool = False, explicit: list[str] = ()) -> DataFrame:
     """path (relative to the root it was found under), content, length. globs beginning with ! exclude; explicit files are read whatever the rules say."""
-    kinds = dict(TYPES)
+    kinds = {k: list(v) for k, v in TYPES.items()}
     for d in define:
         name, _, g = d.partition(":")
         kinds.setdefault(name, []).append(g)
@@ -70,9 +94,13 @@ def read_files(spark: SparkSession, paths: list[str], globs: list[str] = (), typ
         raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
         prefix = re.escape(root.split("://")[-1].rstrip("/"))
         df = raw.select(F.regexp_replace("path", rf"^[a-z0-9+.-]+:/*(?=/)(?:/[^/]*(?=/))?.*?{prefix}/", "").alias("path"), "content", "length")
+        special = _special(spark, root)
+        extra = [(p, bytearray(c), len(c)) for p, c in special]
+        if extra:
+            df = df.unionByName(spark.createDataFrame(extra, "path string, content binary, length long"))
         if not no_ignore:
-            files = df.where(F.col("path").rlike(r"(?:^|/)\.(?:git)?ignore$")).select("path", F.col("content").cast("string").alias("t")).orderBy(F.char_length("path"), "path").collect()
-            rules = [(r.path.rpartition("/")[0], line) for r in files for line in (r.t or "").splitlines()]
+            files = sorted(((p, c) for p, c in special if p.rpartition("/")[2] in (".gitignore", ".ignore")), key=lambda x: (x[0].count("/"), x[0]))
+            rules = [(p.rpartition("/")[0], line) for p, c in files for line in c.decode("utf-8", "replace").splitlines()]
             if rules:
                 df = df.where(~ignored(F.col("path"), rules))
         if not hidden:
@@ -95,7 +123,7 @@ def read_files(spark: SparkSession, paths: list[str], globs: list[str] = (), typ
 
 def decoded(files: DataFrame, encoding: str = "auto") -> DataFrame:
     """path, text, binary_byte_offset, valid_utf8. Text ends before the first NUL, whose offset is kept; a byte order mark decides in auto and is dropped."""
-    if encoding not in MIXED:
+    if encoding not in ENCODINGS:
         raise ValueError(f"unknown encoding {encoding}")
     c = F.col("content")
     if encoding == "euc-kr":
