@@ -151,20 +151,22 @@ def occurrences(docs: DataFrame, bits, huge: set[int], what: str) -> DataFrame:
                 ok = _known(bits.value, h)
                 in_big = np.isin(h, big) if len(big) else np.zeros(len(h), dtype=bool)
                 ok &= in_big if what == "windows" else ~in_big
+                if what == "windows":  # a window once, however many of these anchors it holds
+                    for s in sorted({s for p in at[ok].tolist() for s in range(max(0, p - REACH), min(p, len(x) - LENGTH) + 1)}):
+                        out.append((doc, d, s, hashlib.blake2b(x[s : s + LENGTH], digest_size=16).digest()))
+                        if len(out) >= ROWS:
+                            yield batch()
+                    continue
                 for p, g in zip(at[ok].tolist(), h[ok].tolist(), strict=True):
-                    if what == "windows":
-                        for s in range(max(0, p - REACH), min(p, len(x) - LENGTH) + 1):
-                            out.append((doc, d, s, hashlib.blake2b(x[s : s + LENGTH], digest_size=16).digest()))
+                    left, right = x[max(0, p - REACH) : p], x[p : p + LENGTH]
+                    cd = _digest(left, right)
+                    if what == "places":
+                        out.append((g, cd, doc, d, p))
+                    elif (g, cd) in again:
+                        again[g, cd] += 1
                     else:
-                        left, right = x[max(0, p - REACH) : p], x[p : p + LENGTH]
-                        cd = _digest(left, right)
-                        if what == "places":
-                            out.append((g, cd, doc, d, p))
-                        elif (g, cd) in again:
-                            again[g, cd] += 1
-                        else:
-                            again[g, cd] = 0
-                            out.append((g, cd, left[::-1], right, 1))
+                        again[g, cd] = 0
+                        out.append((g, cd, left[::-1], right, 1))
                     if len(out) >= ROWS:
                         yield batch()
         yield batch()
