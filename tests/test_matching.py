@@ -31,7 +31,7 @@ def test_required_forms(query, text, expected):
 
 
 def test_boundaries():
-    assert found("길", "산길 길 길가", boundary="any") == ["길", "길", "길가"]  # 가 is read as a particle
+    assert found("길", "산길 길 길가", boundary="any") == ["길", "길", "길"]  # 가 follows a vowel only, so it is no particle of 길
     assert found("n:길", "산길 길", boundary="token") == ["길"]
     assert found("v:걷다", "전화를 걸어 봤다. 길을 걸어갔다", boundary="smart") == ["걸어"]
     with pytest.raises(ComponentResourceRequired):
