@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gyeol.llm.common import in_batches
+
 MASKS = ["11111", "111011", "1101011"]
 LEAST_WORDS = 5
 WINDOW = 13
@@ -146,7 +148,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 names = ["doc_id", "item_id", "first_word", "n_words", "n_equal"]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(5)], names)
 
-        parts.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, item_id long, first_word long, n_words long, n_equal long"))
+        parts.append(in_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(rows, "doc_id long, item_id long, first_word long, n_words long, n_equal long"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -163,5 +165,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 bad = {first + d for first, docs_ in chunks(b["text"].to_pylist()) for d, *_ in shared.value.find(docs_)}
                 yield b.filter(pa.array([k not in bad for k in range(b.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(rows, docs.schema)
+        docs = in_batches(docs).mapInArrow(rows, docs.schema)
     return docs

@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gyeol.llm.common import durable, in_batches
+
 TEMPLATE_PAGES, TEMPLATE_SHARE = 10, 0.5
 #: Templates that may be sent to every executor; beyond it they are joined to their pages.
 BROADCAST_TEMPLATES = 300_000
@@ -176,7 +178,7 @@ def template_table(pages: DataFrame) -> DataFrame:
                     n[host, h] = n.get((host, h), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.int64()), pa.array(list(n.values()), pa.int64())], ["host", "h", "n"])
 
-    c = pages.select("url", "html").mapInArrow(count, "host string, h long, n long").groupBy("host", "h").agg(F.sum("n").alias("n"))
+    c = in_batches(pages.select("url", "html")).mapInArrow(count, "host string, h long, n long").groupBy("host", "h").agg(F.sum("n").alias("n"))
     c = c.where(F.col("n") >= TEMPLATE_PAGES)
     total = c.where("h IS NULL").select("host", F.col("n").alias("pages"))
     return c.where("h IS NOT NULL").join(total, "host").where(F.col("n") >= TEMPLATE_SHARE * F.col("pages")).select("host", "h")
@@ -184,8 +186,6 @@ def template_table(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
-    from gyeol.llm.common import durable
-
     templates = durable(template_table(pages))
     few = templates.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES
     if few:
@@ -202,7 +202,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             for b in batches:
                 yield pa.RecordBatch.from_arrays([b["url"], pa.array([host_of(u) for u in b["url"].to_pylist()], pa.string()), of(b), pa.array([key(h or "") for h in b["html"].to_pylist()], pa.int64())], ["url", "host", "hs", "page"])
 
-        rows = pages.select("url", "html").mapInArrow(list_all, "url string, host string, hs array<long>, page long").select("url", "host", "page", F.explode("hs").alias("h"))
+        rows = in_batches(pages.select("url", "html")).mapInArrow(list_all, "url string, host string, hs array<long>, page long").select("url", "host", "page", F.explode("hs").alias("h"))
         own = rows.join(templates, ["host", "h"]).groupBy("url", "page").agg(F.collect_set("h").alias("own"))
         keyed = pages.withColumn("__u", F.coalesce("url", F.lit(""))).select("page_id", "url", "html", "__u")
         own = own.groupBy(F.coalesce("url", F.lit("")).alias("__u")).agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"))
@@ -215,4 +215,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts.append(extract(html, shared.value.get(host_of(url), frozenset()) if shared is not None else frozenset(own or ())))
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return src.mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    return in_batches(src).mapInArrow(read, "page_id long, url string, text string, n_chars long")

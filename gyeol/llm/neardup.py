@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyeol.llm.common import durable
+from gyeol.llm.common import durable, in_batches
 
 SHINGLE = 4
 SKETCH, KEYS, LIST = 32, 16, 32
@@ -79,7 +79,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 low.append(s[:SKETCH])
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(low, pa.list_(pa.int64()))], ["doc_id", "n", "d1", "d2", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n long, d1 long, d2 long, sketch array<long>")
+    return in_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(rows, "doc_id long, n long, d1 long, d2 long, sketch array<long>")
 
 
 def pairs_of(rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataF
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([sh.of(t).tobytes() for t in b["text"].to_pylist()], pa.binary())], ["doc_id", "full"])
 
-    sets = chosen(docs.select(F.col("doc_id").cast("long"), "text"), need, "left_semi").mapInArrow(full, "doc_id long, full binary")
+    sets = in_batches(chosen(docs.select(F.col("doc_id").cast("long"), "text"), need, "left_semi")).mapInArrow(full, "doc_id long, full binary")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("full").alias(f"full_{x}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,7 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataF
                 keep.append(100 * both >= PERCENT * (len(s) + len(t) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "full_a", "full_b").mapInArrow(check, "a long, b long").distinct()
+    return in_batches(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "full_a", "full_b")).mapInArrow(check, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

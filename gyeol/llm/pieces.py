@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from gyeol.llm.common import once
+from gyeol.llm.common import in_batches, once
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes that a model file may have to be sent to every executor.
@@ -187,7 +187,7 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
                     ["doc_id", "n_chars", "n_tokens", "ids", "round_trip"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_chars long, n_tokens long, ids array<int>, round_trip boolean")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(rows, "doc_id long, n_chars long, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def table_of(model: Model) -> list[bytes]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyeol.llm.common import durable, once
+from gyeol.llm.common import durable, in_batches, once
 
 LENGTH, GRAM = 400, 64
 REACH = LENGTH - GRAM
@@ -33,10 +33,12 @@ BATCH = 2_048
 HUGE = 200_000
 #: Rows that a task sends at once.
 ROWS = 4_000
+#: Contexts that a task remembers having sent; beyond it, it starts again.
+SENT = 200_000
 #: Ids that may be sent to every executor; beyond it, texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _sliding(x: np.ndarray, n: int, of) -> np.ndarray:  # noqa: ANN001
@@ -103,7 +105,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    return docs.select("text").mapInArrow(rows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return in_batches(docs.select("text")).mapInArrow(rows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def bitmap(counts: DataFrame) -> np.ndarray:
@@ -140,6 +142,15 @@ def occurrences(docs: DataFrame, bits, huge: set[int], what: str) -> DataFrame:
             out.clear()
             return made
 
+        def told() -> Iterator[pa.RecordBatch]:
+            """How often the contexts that were sent came again; they are forgotten then."""
+            for (g, cd), n in again.items():
+                if n:
+                    out.append((g, cd, None, None, n))
+                    if len(out) >= ROWS:
+                        yield batch()
+            again.clear()
+
         for b in batches:
             for i in range(b.num_rows):
                 one = b.slice(i, 1)
@@ -165,16 +176,13 @@ def occurrences(docs: DataFrame, bits, huge: set[int], what: str) -> DataFrame:
                     elif (g, cd) in again:
                         again[g, cd] += 1
                     else:
+                        if len(again) >= SENT:
+                            yield from told()
                         again[g, cd] = 0
                         out.append((g, cd, left[::-1], right, 1))
                     if len(out) >= ROWS:
                         yield batch()
-        yield batch()
-        for (g, cd), n in again.items():
-            if n:
-                out.append((g, cd, None, None, n))
-                if len(out) >= ROWS:
-                    yield batch()
+        yield from told()
         yield batch()
 
     long, binary = pa.int64(), pa.binary()
@@ -183,7 +191,7 @@ def occurrences(docs: DataFrame, bits, huge: set[int], what: str) -> DataFrame:
         "contexts": [("h", long), ("cd", long), ("left", binary), ("right", binary), ("n", long)],
         "windows": [("doc_id", long), ("d", long), ("start", long), ("w", binary)],
     }[what]
-    return docs.mapInArrow(rows, ", ".join(f"{k} {'long' if t == long else 'binary'}" for k, t in schema))
+    return in_batches(docs).mapInArrow(rows, ", ".join(f"{k} {'long' if t == long else 'binary'}" for k, t in schema))
 
 
 def _lcp(sorted_: list[bytes]) -> np.ndarray:
@@ -287,7 +295,7 @@ def resolve(contexts: DataFrame) -> DataFrame:
         flush()
         yield batch()
 
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(rows, "h long, cd long, spans array<int>")
+    return in_batches(contexts.repartition("h").sortWithinPartitions("h")).mapInArrow(rows, "h long, cd long, spans array<int>")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -351,4 +359,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return whole.unionByName(part.mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    return whole.unionByName(in_batches(part).mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))

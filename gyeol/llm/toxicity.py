@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from gyeol.llm.common import in_batches
+
 #: Labelled rows of each label that are used for fitting, at most; those of the smallest hash.
 SAMPLE = 5_000
 #: Inputs of the machine, at most, and their least z score.
@@ -70,7 +72,7 @@ def inputs(rows: DataFrame, n1: int, n0: int) -> list[int]:
                     found.setdefault(k, [0, 0])[1 if toxic == 1 else 0] += 1
             yield pd.DataFrame({"feature": list(found), "c1": [x[1] for x in found.values()], "c0": [x[0] for x in found.values()]})
 
-    c = rows.mapInPandas(count, "feature long, c1 long, c0 long").groupBy("feature").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+    c = in_batches(rows).mapInPandas(count, "feature long, c1 long, c0 long").groupBy("feature").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
     p = (F.col("c1") + F.col("c0") + 0.5) / (n1 + n0 + 1)
     z = F.abs(F.col("c1") / n1 - F.col("c0") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     return [r.feature for r in c.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(INPUTS).collect()]
@@ -83,7 +85,7 @@ def training_rows(rows: DataFrame, index: dict[int, int]) -> pd.DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "inputs": [sorted(index[k] for k in features_of(t) if k in index) for t in b["text"]]})
 
-    return rows.mapInPandas(terms, "doc_id long, toxic int, inputs array<int>").toPandas()
+    return in_batches(rows).mapInPandas(terms, "doc_id long, toxic int, inputs array<int>").toPandas()
 
 
 class Machine:
@@ -154,7 +156,7 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
             scores = pa.array([machine.score(t) for t in b["text"].to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, scores], [*b.schema.names, "__score"])
 
-    return docs.mapInArrow(rows, StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
+    return in_batches(docs).mapInArrow(rows, StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
