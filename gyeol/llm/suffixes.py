@@ -30,7 +30,7 @@ REACH = LENGTH - GRAM
 WINDOW = REACH + 1
 SLOTS = 1 << 27
 BATCH = 2_048
-HUGE = 200_000
+HUGE = 100_000
 #: Rows that a task sends at once.
 ROWS = 4_000
 #: Contexts that a task remembers having sent; beyond it, it starts again.
@@ -209,11 +209,13 @@ class Levels:
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, list, list]] = []  # rank, (right, number) sorted, (left, number) sorted
-        self.spans: list[list[tuple[int, int]]] = []  # of each context: bytes covered, from the anchor
+        # of each context the bytes covered, from the anchor: every match holds the anchor, so they are one run
+        self.low = self.high = np.zeros(0, dtype=np.int32)
 
     def add(self, batch: list[tuple[bytes, bytes]]) -> None:
-        first = len(self.spans)
-        self.spans += [[] for _ in batch]
+        first = len(self.low)
+        none = np.zeros(len(batch), dtype=np.int32)
+        self.low, self.high = np.concatenate([self.low, none]), np.concatenate([self.high, none])
         right = sorted((r, first + k) for k, (_, r) in enumerate(batch))
         left = sorted((x, first + k) for k, (x, _) in enumerate(batch))
         if len(batch) > 1:
@@ -245,8 +247,8 @@ class Levels:
             _, inv, n = np.unique(both, return_inverse=True, return_counts=True)
             hit = (n > 1) & (np.bincount(inv, weights=fresh) > 0)
             if hit.any():
-                for i in ids[hit[inv]].tolist():
-                    self.spans[i].append((-b, LENGTH - a))
+                i = ids[hit[inv]]
+                self.low[i], self.high[i] = np.minimum(self.low[i], -b), np.maximum(self.high[i], LENGTH - a)
 
 
 def resolve(contexts: DataFrame) -> DataFrame:
@@ -264,7 +266,7 @@ def resolve(contexts: DataFrame) -> DataFrame:
             levels = Levels()
             for k in range(0, len(group), BATCH):
                 levels.add([(left, right) for _, left, right, _ in group[k : k + BATCH]])
-            own = [a + b for a, b in zip(own, levels.spans, strict=True)]
+            own = [a + [(x, y)] * (y > 0) for a, x, y in zip(own, levels.low.tolist(), levels.high.tolist(), strict=True)]
         return [merge(s) for s in own]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
