@@ -7,7 +7,8 @@ with probability 0.2^KEYS (below 1e-11), and sets of up to KEYS values never.
 Lists of up to LIST members give all their pairs. A longer list would give too many: there every member meets the list's pivots, the member with the
 most values that occur in long lists (the centre of a group of edited copies), the smallest and the largest id. Members of long lists
 are also listed by three consecutive values of their sketch, so that closer subgroups have pivots of their own, or are listed in full. Candidates whose union sketches
-estimate a likeness far below 0.8 go; full sets decide over the rest, and the links' components come from large-star and small-star rounds. No list, link or component is collected.
+estimate a likeness far below 0.8 go; full sets decide over the rest, and the links' components come from large-star and small-star rounds. Pivots may miss links, so the members of long
+lists that are in different components after that then meet one another by their rarest values (across()); what is passed over is inside one component. No list, link or component is collected.
 
 Defined cases: fewer words than a shingle has are one shingle; null and empty texts have no set, are linked with nothing and are kept; equal sets are linked whatever their
 texts; rows of one doc_id that differ are treated each on its own; a null doc_id is linked by its set like any other, and its component is the smallest id of it that is not null;
@@ -100,8 +101,8 @@ def with_pivots(rows: DataFrame, counts: DataFrame, centre: DataFrame) -> DataFr
     return met.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """a < b: pairs of representatives that may be alike. reps: rep, n, sketch."""
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a < b: pairs of representatives that may be alike; and the representatives that stand in long lists. reps: rep, n, sketch."""
     single = reps.select("rep", "n", F.explode(F.slice("sketch", 1, KEYS)).alias("key"))
     counts = single.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     counts = durable(counts)
@@ -114,7 +115,35 @@ def candidates(reps: DataFrame) -> DataFrame:
     runs = hot.select("rep", "n", F.explode(F.expr("transform(filter(sequence(1, size(sketch)), i -> i + 2 <= size(sketch)), i -> xxhash64(element_at(sketch, i), element_at(sketch, i + 1), element_at(sketch, i + 2)))")).alias("key"))
     run_counts = runs.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     out = out.unionByName(pairs_of(runs, run_counts)).unionByName(with_pivots(values.select("key", "rep"), common, centre)).unionByName(with_pivots(runs.select("key", "rep"), run_counts, centre))
-    return out.distinct()
+    return out.distinct(), hot
+
+
+def across(hot: DataFrame, comp: DataFrame) -> DataFrame:
+    """a < b: the pairs of members of long lists that are in different components so far and that their union sketch does not rule out.
+
+    Of each sketch only the values that are rarest among all of them are looked up: so many that two sketches that pass the estimate have one of them in common. A list in one
+    component is passed over; in any other, members outside the list's main component meet the others, each pair at its first common value only.
+    """
+    named = hot.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("rep", "n", "sketch", F.coalesce("component", "rep").alias("comp"))
+    values = hot.select("rep", F.explode("sketch").alias("key"))
+    ranked = values.join(values.groupBy("key").agg(F.count("*").alias("members")), "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("members", "key"))).alias("r"))
+    s = F.size("r")
+    # fewer than SKETCH values are the whole set; from 26 on it may meet a set of SKETCH or more, of which LEAST_SHARED are shared
+    long = F.when(s >= 26, s - LEAST_SHARED + 1).otherwise(s - F.ceil(s * PERCENT / 100) + 1)
+    rows = durable(named.join(ranked, "rep").select("rep", "n", "comp", "sketch", F.slice(F.col("r.key"), F.lit(1), long.cast("int")).alias("first")))
+    by = rows.select("comp", F.explode("first").alias("key")).groupBy("key", "comp").agg(F.count("*").alias("members"))
+    mixed = by.groupBy("key").agg(F.max(F.struct("members", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("main.comp").alias("main"))
+    held = rows.select("*", F.explode("first").alias("key")).join(mixed, "key")
+    shared = "size(array_intersect(array_intersect(x.sketch, y.sketch), {u}))"
+    union = f"slice(array_sort(array_union(x.sketch, y.sketch)), 1, {SKETCH})"
+    met = held.where("comp <> main").alias("x").join(
+        held.alias("y"),
+        F.expr(
+            f"""x.key = y.key AND x.comp <> y.comp AND 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)
+            AND get(array_intersect(x.first, y.first), 0) = x.key AND {shared.format(u=union)} * {SKETCH} >= {LEAST_SHARED} * size({union})"""
+        ),
+    )
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -179,8 +208,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     classes = durable(sk.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     reps = sk.join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).where(F.col("doc_id") == F.col("rep")).select("rep", "n", "sketch").dropDuplicates(["rep", "n"])
     reps = durable(reps)
-    links = durable(verified(durable(estimated(candidates(reps), reps)), docs, shingle))
-    comp = components(links)
+    pairs, hot = candidates(reps)
+    comp = components(verified(durable(estimated(pairs, reps)), docs, shingle))
+    if not hot.isEmpty():
+        more = durable(verified(durable(across(hot, comp)), docs, shingle))
+        if not more.isEmpty():
+            comp = components(more.unionByName(comp.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))))
     named = classes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     # the copies of one set may be a third of all rows: their class is joined by a key that the copies share, which Spark splits where it is hot
     out = sk.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")

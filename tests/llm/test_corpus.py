@@ -147,6 +147,25 @@ def test_near_duplicates_equal_all_pairs(spark, size):
     assert {r.doc_id for r in neardup.one_of_each(df, size).collect()} == {i for i, c in comp.items() if i == c}
 
 
+def test_links_at_the_threshold_in_a_large_group(spark):
+    """Copies that are alike to few others of their group: some are reached through no pivot."""
+    rnd = random.Random(77)
+    base, texts = [f"w{i}" for i in range(70)], {}
+    for i in range(170):
+        w = list(base)
+        for _ in range(rnd.choice([0, 1, 3, 4, 5, 6])):
+            w[rnd.randrange(70)] = f"u{rnd.randrange(10**6)}"
+        texts[i] = " ".join(w)
+    comp, _ = groups(texts, 4)
+    df = spark.createDataFrame(list(texts.items()), DOCS)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == comp
+    # without any pivot, members of long lists find one another all the same
+    reps = neardup.sketches(df).select(F.col("doc_id").alias("rep"), "n", "sketch")
+    none = spark.createDataFrame([], "id long, component long")
+    links = neardup.components(neardup.verified(neardup.across(reps, none), df)).collect()
+    assert {i: i for i in texts} | {r.id: r.component for r in links} == comp
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 105), (103, 105), (100, 104)], "a long, b long")
     assert {r.id: r.component for r in neardup.components(links).collect()} == {i: 0 for i in range(1, 41)} | {105: 100, 103: 100, 104: 100}
