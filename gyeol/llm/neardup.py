@@ -32,6 +32,8 @@ SHINGLE = 4
 SKETCH, KEYS, LIST = 32, 16, 32
 #: Of SKETCH values of a union, those that both sets have: at likeness 0.8 fewer with probability below 1e-5.
 LEAST_SHARED = 14
+#: Wider sketches of members of long lists, and their values that both sets have: at likeness 0.8 fewer with probability below 1e-8.
+WIDE, LEAST_WIDE = 256, 166
 #: Ids that may be sent to every executor; beyond it, texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 PERCENT = 80
@@ -118,29 +120,45 @@ def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.distinct(), hot
 
 
-def across(hot: DataFrame, comp: DataFrame) -> DataFrame:
-    """a < b: the pairs of members of long lists that are in different components so far and that their union sketch does not rule out.
+def wide(hot: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """rep, n, w: the WIDE smallest hashes of each representative in hot, by their upper 31 bits, in order."""
 
-    Of each sketch only the values that are rarest among all of them are looked up: so many that two sketches that pass the estimate have one of them in common. A list in one
-    component is passed over; in any other, members outside the list's main component meet the others, each pair at its first common value only.
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sh = Shingles(shingle)
+        for b in batches:
+            sets = [sh.of(t) for t in b["text"].to_pylist()]
+            low = pa.array([(s[:WIDE] >> 32).astype(np.int32) for s in sets], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), low], ["rep", "n", "w"])
+
+    few = chosen(docs.select(F.col("doc_id").cast("long"), "text"), hot.select(F.col("rep").alias("doc_id")).distinct(), "left_semi")
+    return in_batches(few).mapInArrow(rows, "rep long, n long, w array<int>").join(hot.select("rep", "n"), ["rep", "n"]).dropDuplicates(["rep", "n"])
+
+
+def across(hot: DataFrame, comp: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """a < b: the pairs of members of long lists that are in different components so far and that wider sketches do not rule out.
+
+    A set of up to WIDE values is its sketch. Of each sketch only the values that are rarest among all of them are looked up: so many that two sketches that pass have one of them in
+    common. A list in one component is passed over; in any other, members outside the list's main component meet the others, each pair at its first common value only.
     """
-    named = hot.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("rep", "n", "sketch", F.coalesce("component", "rep").alias("comp"))
-    values = hot.select("rep", F.explode("sketch").alias("key"))
-    ranked = values.join(values.groupBy("key").agg(F.count("*").alias("members")), "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("members", "key"))).alias("r"))
+    sets = durable(wide(hot, docs, shingle))
+    values = sets.select("rep", "n", F.explode("w").alias("key"))
+    counts = values.groupBy("key").agg(F.count("*").alias("members"))
+    ranked = values.join(counts, "key").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("members", "key"))).alias("r"))
     s = F.size("r")
-    # fewer than SKETCH values are the whole set; from 26 on it may meet a set of SKETCH or more, of which LEAST_SHARED are shared
-    long = F.when(s >= 26, s - LEAST_SHARED + 1).otherwise(s - F.ceil(s * PERCENT / 100) + 1)
-    rows = durable(named.join(ranked, "rep").select("rep", "n", "comp", "sketch", F.slice(F.col("r.key"), F.lit(1), long.cast("int")).alias("first")))
+    # a whole set shares 80 per cent, less one for hashes that agree by chance; from 0.8 * WIDE values on it may meet a larger one, of which LEAST_WIDE are shared
+    long = F.when(s * 100 >= WIDE * PERCENT, s - LEAST_WIDE + 1).otherwise(s - F.ceil(s * PERCENT / 100) + 2)
+    named = comp.select(F.col("id").alias("rep"), "component")
+    rows = sets.join(ranked, ["rep", "n"]).join(named, "rep", "left").select("rep", "n", "w", F.coalesce("component", "rep").alias("comp"), F.slice(F.col("r.key"), F.lit(1), F.least(s, long).cast("int")).alias("first"))
+    rows = durable(rows)
     by = rows.select("comp", F.explode("first").alias("key")).groupBy("key", "comp").agg(F.count("*").alias("members"))
     mixed = by.groupBy("key").agg(F.max(F.struct("members", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("main.comp").alias("main"))
     held = rows.select("*", F.explode("first").alias("key")).join(mixed, "key")
-    shared = "size(array_intersect(array_intersect(x.sketch, y.sketch), {u}))"
-    union = f"slice(array_sort(array_union(x.sketch, y.sketch)), 1, {SKETCH})"
+    both, union = "size(array_intersect(x.w, y.w))", f"slice(array_sort(array_union(x.w, y.w)), 1, {WIDE})"
     met = held.where("comp <> main").alias("x").join(
         held.alias("y"),
         F.expr(
-            f"""x.key = y.key AND x.comp <> y.comp AND 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)
-            AND get(array_intersect(x.first, y.first), 0) = x.key AND {shared.format(u=union)} * {SKETCH} >= {LEAST_SHARED} * size({union})"""
+            f"""x.key = y.key AND x.comp <> y.comp AND 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n) AND get(array_intersect(x.first, y.first), 0) = x.key
+            AND if(greatest(x.n, y.n) <= {WIDE}, (100 + {PERCENT}) * ({both} + 1) >= {PERCENT} * (x.n + y.n), size(array_intersect(array_intersect(x.w, y.w), {union})) >= {LEAST_WIDE})"""
         ),
     )
     return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
@@ -211,7 +229,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     pairs, hot = candidates(reps)
     comp = components(verified(durable(estimated(pairs, reps)), docs, shingle))
     if not hot.isEmpty():
-        more = durable(verified(durable(across(hot, comp)), docs, shingle))
+        more = durable(verified(durable(across(hot, comp, docs, shingle)), docs, shingle))
         if not more.isEmpty():
             comp = components(more.unionByName(comp.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))))
     named = classes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))

@@ -162,7 +162,7 @@ def test_links_at_the_threshold_in_a_large_group(spark):
     # without any pivot, members of long lists find one another all the same
     reps = neardup.sketches(df).select(F.col("doc_id").alias("rep"), "n", "sketch")
     none = spark.createDataFrame([], "id long, component long")
-    links = neardup.components(neardup.verified(neardup.across(reps, none), df)).collect()
+    links = neardup.components(neardup.verified(neardup.across(reps, none, df), df)).collect()
     assert {i: i for i in texts} | {r.id: r.component for r in links} == comp
 
 
