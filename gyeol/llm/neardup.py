@@ -30,6 +30,8 @@ from gyeol.llm.common import durable, in_batches
 
 SHINGLE = 4
 SKETCH, KEYS, LIST = 32, 16, 32
+#: Of KEYS values of a union, those that both sets have: at likeness 0.8 fewer with probability below 1e-6.
+LONG = 4
 #: Of SKETCH values of a union, those that both sets have: at likeness 0.8 fewer with probability below 1e-5.
 LEAST_SHARED = 14
 #: Wider sketches of members of long lists, and their values that both sets have: at likeness 0.8 fewer with probability below 1e-8.
@@ -109,8 +111,9 @@ def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = single.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     counts = durable(counts)
     out = pairs_of(single, counts)
-    hot = single.join(counts.where(F.col("members") > LIST).select("key"), "key").select("rep").distinct()
-    hot = durable(reps.join(hot, "rep", "left_semi"))
+    # a pair that no short list gives has all its common values in long ones, and those are LONG at least (or the whole set)
+    hot = single.join(counts.where(F.col("members") > LIST).select("key"), "key").groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= F.least(F.lit(LONG), "n")).select("rep", "n")
+    hot = durable(reps.join(hot, ["rep", "n"], "left_semi"))
     values = hot.select("rep", "n", F.explode("sketch").alias("key"))
     common = values.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > LIST)
     centre = durable(values.join(common.select("key"), "key").groupBy("rep").agg(F.count("*").alias("weight")))
