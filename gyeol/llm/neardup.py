@@ -11,7 +11,8 @@ estimate a likeness far below 0.8 go; full sets decide over the rest, and the li
 lists that are in different components after that then meet one another by their rarest values (across()); what is passed over is inside one component. No list, link or component is collected.
 
 Defined cases: fewer words than a shingle has are one shingle; null and empty texts have no set, are linked with nothing and are kept; equal sets are linked whatever their
-texts; rows of one doc_id that differ are treated each on its own; a null doc_id is linked by its set like any other, and its component is the smallest id of it that is not null;
+texts; rows of one doc_id that differ are treated each on its own, and of those of one group one text is kept; a null doc_id is linked by its set like any other, and its component is the smallest id
+of it that is not null (null if there is none; then one text of it is kept);
 other columns are left alone; an empty table gives no rows.
 """
 
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gyeol.llm.common import durable, in_batches
@@ -182,8 +183,8 @@ def chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The pairs whose full sets have a likeness of PERCENT / 100 at least."""
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, again: bool = False) -> DataFrame:
+    """The pairs whose full sets have a likeness of PERCENT / 100 at least. again: a doc_id may have several rows, all of one set."""
     need = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +192,8 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataF
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([sh.of(t).tobytes() for t in b["text"].to_pylist()], pa.binary())], ["doc_id", "full"])
 
-    sets = in_batches(chosen(docs.select(F.col("doc_id").cast("long"), "text"), need, "left_semi")).mapInArrow(full, "doc_id long, full binary")
+    few = chosen(docs.select(F.col("doc_id").cast("long"), "text"), need, "left_semi")
+    sets = in_batches(few.dropDuplicates(["doc_id"]) if again else few).mapInArrow(full, "doc_id long, full binary")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("full").alias(f"full_{x}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,27 +225,73 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
-    sk = durable(sketches(docs, shingle))
+def components_of_sets(sk: DataFrame, docs: DataFrame, shingle: int, again: bool = False) -> DataFrame:
+    """n, d1, d2, component_id of every set in sk, the sketches of docs, where a doc_id has one set. again: a doc_id may have several rows."""
     classes = durable(sk.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     reps = sk.join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).where(F.col("doc_id") == F.col("rep")).select("rep", "n", "sketch").dropDuplicates(["rep", "n"])
     reps = durable(reps)
     pairs, hot = candidates(reps)
-    comp = components(verified(durable(estimated(pairs, reps)), docs, shingle))
+    comp = components(verified(durable(estimated(pairs, reps)), docs, shingle, again))
     if not hot.isEmpty():
-        more = durable(verified(durable(across(hot, comp, docs, shingle)), docs, shingle))
+        more = durable(verified(durable(across(hot, comp, docs, shingle)), docs, shingle, again))
         if not more.isEmpty():
             comp = components(more.unionByName(comp.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))))
-    named = classes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+    return classes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+
+
+def text_key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.coalesce("text", F.lit("")))
+
+
+def by_texts(docs: DataFrame, shingle: int) -> tuple[DataFrame, int]:
+    """doc_id, key, n_shingles, component_id, kept, for ids that are null or repeated: rows are told apart by doc_id and key, a hash of the text; and the hash's seed.
+
+    The first row of a group, by id (null last) and key, stands for it."""
+    seed = 0
+    while True:
+        keyed = docs.select(text_key(seed).alias("doc_id"), "text")
+        sk = durable(sketches(keyed, shingle))
+        sets = durable(sk.groupBy("doc_id").agg(F.min("n").alias("n"), F.min("d1").alias("d1"), F.min("d2").alias("d2"), F.max("d1").alias("e1"), F.max("d2").alias("e2")))
+        if sets.where("d1 <> e1 OR d2 <> e2").isEmpty():
+            break
+        seed += 1  # two sets have one key
+    named = components_of_sets(sk, keyed, shingle, again=True)
+    sets = sets.join(named, ["n", "d1", "d2"], "left").select(F.col("doc_id").alias("key"), "n", F.col("component_id").alias("group"))
+    rows = docs.select(F.col("doc_id").cast("long"), text_key(seed).alias("key")).join(sets, "key")
+    first = rows.where("n > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
+    out = rows.join(first, "group", "left")
+    stands = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), (stands | F.col("first").isNull()).alias("kept")), seed
+
+
+def ids_tell(sk: DataFrame) -> bool:
+    """Whether every row has an id of its own."""
+    return sk.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty()
+
+
+def by_ids(sk: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, where every row has an id of its own."""
+    named = components_of_sets(sk, docs, shingle)
     # the copies of one set may be a third of all rows: their class is joined by a key that the copies share, which Spark splits where it is hot
     out = sk.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    sk = durable(sketches(docs, shingle))
+    return by_ids(sk, docs, shingle) if ids_tell(sk) else by_texts(docs, shingle)[0].drop("key")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs without those that another document of their group stands for; of rows with one doc_id one stays."""
-    got = durable(near_duplicates(docs, shingle))
-    out = chosen(docs, got.where("NOT kept").select("doc_id").distinct(), "left_anti")
-    again = got.where("kept").groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL")
-    return out if again.isEmpty() else out.dropDuplicates(["doc_id"])
+    """docs without those that another document of their group stands for; of rows with one doc_id and one text one stays, but rows with neither an id nor a word all stay."""
+    sk = durable(sketches(docs, shingle))
+    if ids_tell(sk):
+        got = durable(by_ids(sk, docs, shingle))
+        return chosen(docs, got.where("NOT kept").select("doc_id"), "left_anti")
+    got, seed = by_texts(docs, shingle)
+    gone = durable(got.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("key").alias("__gone")).distinct())
+    rows = docs.withColumn("__key", text_key(seed))
+    rows = rows.join(gone, (F.col("__key") == F.col("__gone")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    bare = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return rows.where(~bare).dropDuplicates(["doc_id", "__key"]).unionByName(rows.where(bare)).drop("__key")

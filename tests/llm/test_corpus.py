@@ -176,6 +176,18 @@ def test_one_row_of_a_repeated_id(spark):
     assert sorted(r.doc_id for r in neardup.one_of_each(df).collect()) == [1, 3]
 
 
+def test_null_and_shared_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (1, a), (1, b), (2, b), (None, c), (None, c + " z"), (None, "quite other words stand here"), (None, "and others once more here"), (None, ""), (None, None), (3, a + " y"), (4, "its own words here")]
+    df = spark.createDataFrame(rows, DOCS)
+    left = sorted((r.doc_id or 0, r.text or "") for r in neardup.one_of_each(df).collect())
+    either = [x for x in left if x[1] in (c, c + " z")]
+    assert len(either) == 1
+    assert [x for x in left if x not in either] == sorted([(1, a), (1, b), (0, "quite other words stand here"), (0, "and others once more here"), (0, ""), (0, ""), (4, "its own words here")])
+    got = neardup.near_duplicates(df).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got if r.doc_id in (2, 3)} == {1} and sum(r.kept for r in got) == 9
+
+
 # personal data
 
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
