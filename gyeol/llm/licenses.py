@@ -114,6 +114,8 @@ BODIES = [
     ("proprietary", "all rights reserved", r"all rights reserved"),
     ("copyright", "copyright", r"copyright (?:\(c\)|©)? ?[0-9]{4}(?:[-–, ]+[0-9]{4})*"),
 ]
+#: Parts of the short names of Creative Commons licenses, after "by".
+SHORT = ["", "sa", "nc", "nd", "nc sa", "nc nd"]
 #: A text without any of these has no match of any rule. Each rule's regex contains one of them.
 GATES = ["licen", "copyright", "public domain", "all rights reserved", "permission", "redistribut", "neither the name", "gnu.org", "mozilla.org", "creativecommons.org", "boost.org", "apache.org", "arising from the use", "provided", "without restriction", "unencumbered"]
 
@@ -136,6 +138,17 @@ def rules() -> list[dict]:
         add(label, key, r"(?:released|licensed|distributed|available|provided|covered|published)(?: [\p{L}]+){0,3} under (?:the terms of |a |an )?" + name.replace(r"(?<![\p{L}\p{N}])", "") + lic + word, 2, 0.9)
         add(label, key, r"licen[sc]ed? ?[:=] ?[\"']?" + name.replace(r"(?<![\p{L}\p{N}])", "") + word, 2, 0.8)
         add(label, key, name + r"[ -]licen[sc](?:e|ed)s?" + word, 1, 0.6)
+    edge, under = r"(?<![\p{L}\p{N}])", r"(?:released|licensed|distributed|available|provided|covered|published)(?: [\p{L}]+){0,3} under (?:the terms of )?(?:the |a |an )?"
+    version = r"(?:[ -](?:version |ver\. |v\.? ?)?(?:1\.0|2\.0|2\.5|3\.0|4\.0)(?![0-9.]*[0-9]))"
+    for parts in SHORT:
+        label = "-".join(["cc-by", *parts.split()])
+        for key, start in (("cc by", "cc by"), ("cc-by", "cc-by"), ("creative commons by", "creative commons by")):
+            name = start + "".join(f"[ -]{x}" for x in parts.split()) + r"(?![ -](?:sa|nc|nd)(?![\p{L}\p{N}]))"
+            add(label, key, edge + name + version, 2, 0.9)
+            add(label, key, under + name + version + "?" + word, 2, 0.9)
+            add(label, key, r"licen[sc]ed? ?[:=] ?[\"']?" + name + version + "?" + word, 2, 0.8)
+            # "cc by" alone may be about a letter
+            add(label, key, edge + name + (r"(?:[ -]licen[sc](?:e|ed)s?)?" if parts or key != "cc by" else r"[ -]licen[sc](?:e|ed)s?") + word, 1, 0.6)
     return out
 
 
@@ -165,6 +178,7 @@ def scan(docs: DataFrame) -> DataFrame:
     gate = F.lit(False)
     for g in GATES:
         gate = gate | F.contains("low", F.lit(g))
+    gate = gate | F.col("low").rlike(r"(?:cc|commons)[\s-]+by")
     none = F.array().cast("array<struct<s:int,e:int,tier:int,label:string,weight:double>>")
     df = df.withColumn("rules", F.when(gate, _rules_column()))
     return df.withColumn("hits", F.when(gate, detections()).otherwise(none)).drop("rules")

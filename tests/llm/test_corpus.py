@@ -243,6 +243,16 @@ def test_licenses(spark, docs, texts):
     assert got[9001].n_detections == 3 and got[9003].labels == "gpl" and got[9003].score > 0.9
 
 
+def test_short_names_of_creative_commons(spark):
+    own = {
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Text is CC-BY-SA 3.0": "cc-by-sa", "released under CC BY 4.0": "cc-by", "CC BY-NC-ND": "cc-by-nc-nd", "cc-by-nc-sa-4.0": "cc-by-nc-sa",
+        "License: CC BY": "cc-by", "under a CC BY-ND 2.5 license": "cc-by-nd", "Creative Commons BY-SA 4.0": "cc-by-sa", "sent with cc by mail": "", "acc by-ncx": "",
+    }
+    got = {r.doc_id: r for r in licenses.report(spark.createDataFrame(list(enumerate(own)), DOCS)).collect()}
+    assert [got[i].labels for i in range(len(own))] == list(own.values())
+    assert got[0].score == 0.9 and got[0].n_detections == 1
+
+
 # pages
 
 
