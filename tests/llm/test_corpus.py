@@ -253,6 +253,18 @@ def test_short_names_of_creative_commons(spark):
     assert got[0].score == 0.9 and got[0].n_detections == 1
 
 
+def test_license_names_and_wrapped_lines(spark):
+    own = {
+        "Expat License": "mit", "the X11 license": "mit", "Internet Systems Consortium License": "isc", "Open Data Commons Database License": "odbl", "Permission is hereby granted, free\nof charge,  to any person\r\n obtaining a copy": "mit",
+        "redistribution  and\nuse in source and binary forms, with or\nwithout modification": "bsd", "placed into\nthe public\ndomain": "public-domain", "all rights\nreserved": "proprietary", "Licensed under CC\nBY-NC\t4.0.": "cc-by-nc",
+        "in no event will the authors be held liable for any damages arising\nfrom the use of this software": "zlib", "Mozilla\n Public   License, version\n2.0": "mpl", "neither the\nname of X nor the names of its contributors": "bsd",
+    }
+    got = {r.doc_id: r for r in licenses.report(spark.createDataFrame(list(enumerate(own)), DOCS)).collect()}
+    assert [got[i].labels for i in range(len(own))] == list(own.values())
+    [hit] = licenses.scan(spark.createDataFrame([(1, "see:  the\n\nExpat\n  License.")], DOCS)).first().hits
+    assert (hit.s, hit.e) == (6, 26)
+
+
 # pages
 
 
