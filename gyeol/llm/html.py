@@ -2,8 +2,8 @@
 
 A page is read into a light tree. Elements that are not content by their tag, role or class (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, comments of readers) are dropped. Every other block subtree is hashed; Spark counts the hashes per host, and subtrees
-that recur on at least half of a host's pages, and on TEMPLATE_PAGES of them, are templates: they are deleted too, unless they lie inside
-the page's article. What stays is the article (the main element or the body where there is none).
+that recur on at least half of a host's pages, and on TEMPLATE_PAGES of them, are templates: they are deleted too, inside the page's article as
+elsewhere; only the article, main element and body themselves are never deleted as templates. Pages of one html count once there. What stays is the article (the main element or the body where there is none).
 
 Defined cases: null or empty html gives an empty text; a null url counts as the host ''; unclosed elements end where HTML lets
 them end; an article opens even inside an unclosed dropped element; repeated rows give repeated rows; other columns are left alone;
@@ -13,6 +13,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -63,11 +64,11 @@ def name_is_comment(attrs: str) -> bool:
     return any(w in ("comment", "comments", "reply") for m in ATTR.finditer(attrs or "") for w in PART.findall((m[2] or m[3] or m[4] or "").lower()))
 
 
-def parse(html: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, bool]], str]:
+def parse(html: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int]], str]:
     """(pieces, blocks, root). A piece is (place, rank, kind, text) outside dropped elements: rank 2 inside an article, 1 inside main, else 0; kind 1 begins a
-    block. A block is (start, end, inside an article) of the source of a subtree that isn't dropped."""
+    block. A block is (start, end) of the source of a subtree that isn't dropped."""
     pieces: list[tuple[int, int, int, str]] = []
-    blocks: list[tuple[int, int, bool]] = []
+    blocks: list[tuple[int, int]] = []
     stack: list[list] = []  # tag, start, dropped from here on, rank, end of its opening tag
     at, n, dropped, rank = 0, len(html), False, 0
 
@@ -76,7 +77,7 @@ def parse(html: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, i
         while len(stack) > k:
             tag, start, was_dropped, was_rank, _ = stack.pop()
             if not dropped and tag not in INLINE and tag not in ("html", "body", "article", "main"):
-                blocks.append((start, end, rank == 2))
+                blocks.append((start, end))
             dropped, rank = was_dropped, was_rank
 
     def text(a: int, b: int) -> None:
@@ -148,7 +149,7 @@ def host_of(url: str | None) -> str:
 
 
 def template_candidates(html: str | None) -> set[int]:
-    return {key(html[a:b]) for a, b, inside in parse(html)[1] if not inside} if html else set()
+    return {key(html[a:b]) for a, b in parse(html)[1]} if html else set()
 
 
 def extract(html: str | None, templates: set[int] | frozenset[int] = frozenset()) -> str:
@@ -156,29 +157,30 @@ def extract(html: str | None, templates: set[int] | frozenset[int] = frozenset()
         return ""
     pieces, blocks, best = parse(html)
     rank = int(best)
-    gone = [(a, b) for a, b, inside in blocks if not inside and key(html[a:b]) in templates] if templates and rank < 2 else []
-    out = []
+    gone: list[tuple[int, int]] = []  # apart from one another, in order
+    for a, b in sorted((x for x in blocks if key(html[x[0] : x[1]]) in templates), key=lambda x: (x[0], -x[1])) if templates else ():
+        if not gone or a >= gone[-1][1]:
+            gone.append((a, b))
+    starts, out = [a for a, _ in gone], []
     for at, r, kind, t in pieces:
         if kind:
             out.append(" ")
-        elif r == rank and not any(a <= at < b for a, b in gone):
+        elif r == rank and not ((k := bisect_right(starts, at)) and at < gone[k - 1][1]):
             out.append(t)
     return " ".join(unescape("".join(out)).split())
 
 
 def template_table(pages: DataFrame) -> DataFrame:
-    """host, h: the subtrees that recur on many pages of their host. Counts are summed per task before they are dealt out."""
+    """host, h: the subtrees that recur on many different pages of their host."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def list_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n: dict[tuple[str, int | None], int] = {}
-            for url, html in zip(b["url"].to_pylist(), b["html"].to_pylist(), strict=True):
-                host = host_of(url)
-                for h in (None, *template_candidates(html)):
-                    n[host, h] = n.get((host, h), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.int64()), pa.array(list(n.values()), pa.int64())], ["host", "h", "n"])
-
-    c = in_batches(pages.select("url", "html")).mapInArrow(count, "host string, h long, n long").groupBy("host", "h").agg(F.sum("n").alias("n"))
+            rows = {(host_of(url), h, page) for url, html, page in zip(b["url"].to_pylist(), b["html"].to_pylist(), b["page"].to_pylist(), strict=True) for h in (None, *template_candidates(html))}
+            cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["host", "h", "page"])
+
+    c = in_batches(pages.select("url", "html", F.xxhash64("html").alias("page"))).mapInArrow(list_all, "host string, h long, page long")
+    c = c.distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
     c = c.where(F.col("n") >= TEMPLATE_PAGES)
     total = c.where("h IS NULL").select("host", F.col("n").alias("pages"))
     return c.where("h IS NOT NULL").join(total, "host").where(F.col("n") >= TEMPLATE_SHARE * F.col("pages")).select("host", "h")

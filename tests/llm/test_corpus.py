@@ -284,6 +284,16 @@ def test_site_templates_go(spark, monkeypatch, limit):
     assert got[0] == "text a here" and got[99] == "Our site, est. 1999 x" and got[100] == ""
 
 
+@pytest.mark.parametrize("limit", [html.BROADCAST_TEMPLATES, 0])
+def test_templates_inside_articles_go(spark, monkeypatch, limit):
+    monkeypatch.setattr(html, "BROADCAST_TEMPLATES", limit)
+    page = lambda x: f'<body><article><p>start {x}</p><div class="box-a"><p>Read our offer</p></div><p>end {x}</p></article></body>'
+    rows = [(i, f"https://a.example/{i}", page(chr(97 + i))) for i in range(12)] + [(20 + i, f"https://b.example/{i}", page("same")) for i in range(12)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "start a end a" and got[11] == "start l end l"
+    assert got[20] == "start same Read our offer end same"  # copies of one page aren't a template
+
+
 # chat
 
 
