@@ -3,7 +3,8 @@
 A page is read into a light tree. Elements that are not content by their tag, role or class (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, comments of readers) are dropped. Every other block subtree is hashed; Spark counts the hashes per host, and subtrees
 that recur on at least half of a host's pages, and on TEMPLATE_PAGES of them, are templates: they are deleted too, inside the page's article as
-elsewhere; only the article, main element and body themselves are never deleted as templates. Pages of one html count once there. What stays is the article (the main element or the body where there is none).
+elsewhere; only the article, main element and body themselves are never deleted as templates. Pages of one html count once there. What stays is the
+root: the articles if they hold ROOT_SHARE of the text that is left, else the main elements with the articles if those do, else the whole body.
 
 Defined cases: null or empty html gives an empty text; a null url counts as the host ''; unclosed elements end where HTML lets
 them end; an article opens even inside an unclosed dropped element; repeated rows give repeated rows; other columns are left alone;
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from gyeol.llm.common import durable, in_batches
 
 TEMPLATE_PAGES, TEMPLATE_SHARE = 10, 0.5
+#: Of a page's text, the part that its articles (or these and its main elements) hold where they are the root.
+ROOT_SHARE = 0.5
 #: Templates that may be sent to every executor; beyond it they are joined to their pages.
 BROADCAST_TEMPLATES = 300_000
 
@@ -64,8 +67,8 @@ def name_is_comment(attrs: str) -> bool:
     return any(w in ("comment", "comments", "reply") for m in ATTR.finditer(attrs or "") for w in PART.findall((m[2] or m[3] or m[4] or "").lower()))
 
 
-def parse(html: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int]], str]:
-    """(pieces, blocks, root). A piece is (place, rank, kind, text) outside dropped elements: rank 2 inside an article, 1 inside main, else 0; kind 1 begins a
+def parse(html: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int]]]:
+    """(pieces, blocks). A piece is (place, rank, kind, text) outside dropped elements: rank 2 inside an article, 1 inside main, else 0; kind 1 begins a
     block. A block is (start, end) of the source of a subtree that isn't dropped."""
     pieces: list[tuple[int, int, int, str]] = []
     blocks: list[tuple[int, int]] = []
@@ -133,13 +136,12 @@ def parse(html: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, i
             dropped = unwanted(tag, m[3], rank == 2)
     text(at, n)
     close(0, n)
-    best = max((r for _, r, kind, t in pieces if kind == 0 and t.strip()), default=0)
-    return pieces, blocks, str(best)
+    return pieces, blocks
 
 
 def key(source: str) -> int:
-    """A subtree's hash: its source with white space and digits folded, as a signed 64-bit number."""
-    h = xxhash.xxh64_intdigest(re.sub(r"[\s\d]+", " ", source))
+    """A subtree's hash: its source with white space folded, as a signed 64-bit number."""
+    h = xxhash.xxh64_intdigest(re.sub(r"\s+", " ", source))
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
@@ -155,18 +157,19 @@ def template_candidates(html: str | None) -> set[int]:
 def extract(html: str | None, templates: set[int] | frozenset[int] = frozenset()) -> str:
     if not html:
         return ""
-    pieces, blocks, best = parse(html)
-    rank = int(best)
+    pieces, blocks = parse(html)
     gone: list[tuple[int, int]] = []  # apart from one another, in order
     for a, b in sorted((x for x in blocks if key(html[x[0] : x[1]]) in templates), key=lambda x: (x[0], -x[1])) if templates else ():
         if not gone or a >= gone[-1][1]:
             gone.append((a, b))
-    starts, out = [a for a, _ in gone], []
-    for at, r, kind, t in pieces:
-        if kind:
-            out.append(" ")
-        elif r == rank and not ((k := bisect_right(starts, at)) and at < gone[k - 1][1]):
-            out.append(t)
+    starts = [a for a, _ in gone]
+    left = [x for x in pieces if x[2] or not ((k := bisect_right(starts, x[0])) and x[0] < gone[k - 1][1])]
+    size = [0, 0, 0]
+    for _, r, kind, t in left:
+        if not kind:
+            size[r] += len("".join(t.split()))
+    root = next((r for r in (2, 1) if sum(size[r:]) and sum(size[r:]) >= ROOT_SHARE * sum(size)), 0)
+    out = [" " if kind else t for _, r, kind, t in left if kind or r >= root]
     return " ".join(unescape("".join(out)).split())
 
 

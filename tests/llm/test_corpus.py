@@ -294,6 +294,15 @@ def test_templates_inside_articles_go(spark, monkeypatch, limit):
     assert got[20] == "start same Read our offer end same"  # copies of one page aren't a template
 
 
+def test_numbers_and_teasers_stay(spark):
+    rows = [(i, f"https://a.example/{i}", f"<body><p>text {chr(97 + i)} here</p><table><tr><td>{i}</td><td>{i * 7}</td></tr></table><p>{1990 + i}</p></body>") for i in range(12)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text {chr(97 + i)} here {i} {i * 7} {1990 + i}" for i in range(12)}
+    assert html.extract("<body><p>The main text of the page is here and long</p><article>Teaser</article><p>and it ends</p></body>") == "The main text of the page is here and long Teaser and it ends"
+    assert html.extract("<body>x<main><p>The main text of the page</p><article>Teaser</article></main></body>") == "The main text of the page Teaser"
+    assert html.extract("<body><p>short</p><article>An article of many more words</article></body>") == "An article of many more words"
+
+
 # chat
 
 
