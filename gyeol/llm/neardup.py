@@ -1,14 +1,12 @@
 """Near-duplicate documents by bottom-k sketches.
 
 A document's set is its distinct shingles of SHINGLE words (four; the pipeline takes five), hashed by one function; its sketch is the SKETCH smallest hashes. Documents of equal sets form a
-class, which one representative stands for. Each of a representative's KEYS smallest values is an inverted list; two sets of likeness 0.8 share none of them
-with probability 0.2^KEYS (below 1e-11), and sets of up to KEYS values never.
+class, which one representative stands for. The values that sketches retain make inverted lists. Only the rarest values of a sketch are listed, so many that two sketches that share
+LEAST_SHARED values share one of these (a common passage of unlike documents is not among them); two sets of likeness 0.8 share fewer with a probability below 1e-5, and small sets never.
 
-Lists of up to LIST members give all their pairs. A longer list would give too many: there every member meets the list's pivots, the member with the
-most values that occur in long lists (the centre of a group of edited copies), the smallest and the largest id. Members of long lists
-are also listed by three consecutive values of their sketch, so that closer subgroups have pivots of their own, or are listed in full. Candidates whose union sketches
-estimate a likeness far below 0.8 go; full sets decide over the rest, and the links' components come from large-star and small-star rounds. Pivots may miss links, so the members of long
-lists that are in different components after that then meet one another by their rarest values (across()); what is passed over is inside one component. No list, link or component is collected.
+Each list's members meet its pivot, the member whose values are in the most sets (the centre of a group of edited copies). Pairs whose union sketches
+estimate a likeness far below 0.8 go; full sets decide over the rest, and the links' components come from large-star and small-star rounds. Pivots miss links. So members of lists that
+are in several components after that meet again, exactly: by the rarest values of their whole sets, at places from which on enough values are left (across()). No list, link or component is collected.
 
 Defined cases: fewer words than a shingle has are one shingle; null and empty texts have no set, are linked with nothing and are kept; equal sets are linked whatever their
 texts; rows of one doc_id that differ are treated each on its own, and of those of one group one text is kept; a null doc_id is linked by its set like any other, and its component is the smallest id
@@ -30,16 +28,14 @@ from pyspark.sql import functions as F
 from gyeol.llm.common import durable, in_batches
 
 SHINGLE = 4
-SKETCH, KEYS, LIST = 32, 16, 32
-#: Of KEYS values of a union, those that both sets have: at likeness 0.8 fewer with probability below 1e-6.
-LONG = 4
+SKETCH = 32
 #: Of SKETCH values of a union, those that both sets have: at likeness 0.8 fewer with probability below 1e-5.
 LEAST_SHARED = 14
-#: Wider sketches of members of long lists, and their values that both sets have: at likeness 0.8 fewer with probability below 1e-8.
-WIDE, LEAST_WIDE = 256, 166
-#: Ids that may be sent to every executor; beyond it, texts are shuffled to them.
-BROADCAST_IDS = 1_000_000
+#: Ids or keys that may be sent to every executor; beyond it, both sides are shuffled.
+BROADCAST_IDS, BROADCAST_KEYS = 1_000_000, 500_000
 PERCENT = 80
+#: Sizes of sets are dealt into classes of this ratio, so that members of a list meet only those of a fitting size.
+SIZES = 1.02
 
 
 class Shingles:
@@ -88,99 +84,89 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return in_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(rows, "doc_id long, n long, d1 long, d2 long, sketch array<long>")
 
 
-def pairs_of(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """a, b: all pairs inside each list of up to LIST members whose sizes allow the likeness. rows: key, rep, n."""
-    few = counts.where(F.col("members").between(2, LIST)).select("key")
-    lists = rows.join(few, "key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("m"))
-    both = "flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)), y -> named_struct('a', x.rep, 'b', y.rep))))"
-    return lists.select(F.explode(F.expr(both)).alias("p")).select("p.a", "p.b").where("a <> b")
-
-
-def with_pivots(rows: DataFrame, counts: DataFrame, centre: DataFrame) -> DataFrame:
-    """a, b: the members of each longer list with its pivots. Pivots are aggregates, so a long list is never in one place."""
-    many = counts.where(F.col("members") > LIST).select("key")
-    held = rows.join(many, "key").join(centre, "rep")
-    pivots = held.groupBy("key").agg(F.max(F.struct("weight", F.negate("rep").alias("neg"))).alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-    pivots = pivots.select("key", F.explode(F.array(F.negate("c.neg"), "lo", "hi")).alias("pivot")).distinct()
-    met = held.select("key", "rep").join(pivots, "key")
-    return met.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-
-
-def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """a < b: pairs of representatives that may be alike; and the representatives that stand in long lists. reps: rep, n, sketch."""
-    single = reps.select("rep", "n", F.explode(F.slice("sketch", 1, KEYS)).alias("key"))
-    counts = single.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    counts = durable(counts)
-    out = pairs_of(single, counts)
-    # a pair that no short list gives has all its common values in long ones, and those are LONG at least (or the whole set)
-    hot = single.join(counts.where(F.col("members") > LIST).select("key"), "key").groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= F.least(F.lit(LONG), "n")).select("rep", "n")
-    hot = durable(reps.join(hot, ["rep", "n"], "left_semi"))
-    values = hot.select("rep", "n", F.explode("sketch").alias("key"))
-    common = values.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > LIST)
-    centre = durable(values.join(common.select("key"), "key").groupBy("rep").agg(F.count("*").alias("weight")))
-    runs = hot.select("rep", "n", F.explode(F.expr("transform(filter(sequence(1, size(sketch)), i -> i + 2 <= size(sketch)), i -> xxhash64(element_at(sketch, i), element_at(sketch, i + 1), element_at(sketch, i + 2)))")).alias("key"))
-    run_counts = runs.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    out = out.unionByName(pairs_of(runs, run_counts)).unionByName(with_pivots(values.select("key", "rep"), common, centre)).unionByName(with_pivots(runs.select("key", "rep"), run_counts, centre))
-    return out.distinct(), hot
-
-
-def wide(hot: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """rep, n, w: the WIDE smallest hashes of each representative in hot, by their upper 31 bits, in order."""
+def prefixes(values: DataFrame, size: Column, least: Column) -> DataFrame:
+    """rep, n, weight, key, pos, members: of each set the values that come first when all values are ordered by how many sets hold them, rarest first.
+
+    values: rep, n, key. A set of size values that shares least of them with another has a value in common with it among its first size - least + 1, and so has the other; the
+    rarest common value is among them. Values of one set alone come first of all; they are counted and not shuffled. pos is a value's place, from 0; members the sets
+    that hold it; weight, the sum of members over all shared values of the set, is large at the centre of a group.
+    """
+    counts = durable(values.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    few = counts.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    shared = values.join(F.broadcast(counts) if few else counts, "key")
+    sets = shared.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("members", "key"))).alias("r"))
+    sets = sets.withColumn("own", (size - F.size("r")).cast("int")).withColumn("first", F.greatest(size - least + 1 - F.col("own"), F.lit(0)).cast("int"))
+    sets = sets.withColumn("weight", F.aggregate("r", F.lit(0).cast("long"), lambda t, x: t + x["members"]))
+    return sets.select("rep", "n", "weight", "own", F.posexplode(F.slice("r", F.lit(1), F.col("first")))).select("rep", "n", "weight", F.col("col.key").alias("key"), (F.col("own") + F.col("pos")).alias("pos"), F.col("col.members").alias("members"))
+
+
+def listed(reps: DataFrame) -> DataFrame:
+    """rep, n, weight, key, pos, members: the inverted lists of sketch values that two sets of likeness 0.8 meet in. reps: rep, n, sketch."""
+    size = F.least("n", F.lit(SKETCH))
+    # a whole set shares 80 per cent; from 0.8 * SKETCH values on it may meet a larger one, of which LEAST_SHARED are shared
+    least = F.when(F.col("n") * 100 >= SKETCH * PERCENT, F.lit(LEAST_SHARED)).otherwise(F.ceil(F.col("n") * PERCENT / 100))
+    return prefixes(reps.select("rep", "n", F.explode("sketch").alias("key")), size, least)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh = Shingles(shingle)
-        for b in batches:
-            sets = [sh.of(t) for t in b["text"].to_pylist()]
-            low = pa.array([(s[:WIDE] >> 32).astype(np.int32) for s in sets], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), low], ["rep", "n", "w"])
 
-    few = chosen(docs.select(F.col("doc_id").cast("long"), "text"), hot.select(F.col("rep").alias("doc_id")).distinct(), "left_semi")
-    return in_batches(few).mapInArrow(rows, "rep long, n long, w array<int>").join(hot.select("rep", "n"), ["rep", "n"]).dropDuplicates(["rep", "n"])
+def with_pivots(lists: DataFrame) -> DataFrame:
+    """a < b: the members of each list with its pivot, the one with the greatest weight. No more pairs than members; a pivot is an aggregate, so a long list is never in one place."""
+    pivots = lists.groupBy("key").agg(F.max(F.struct("weight", F.negate("rep").alias("neg"), F.col("n").alias("size"))).alias("p"))
+    met = lists.join(pivots, "key").select("rep", "n", F.negate("p.neg").alias("pivot"), "p.size").where(f"rep <> pivot AND 100 * least(n, size) >= {PERCENT} * greatest(n, size)")
+    return met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
 
 
-def across(hot: DataFrame, comp: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """a < b: the pairs of members of long lists that are in different components so far and that wider sketches do not rule out.
+def in_several(lists: DataFrame, comp: DataFrame) -> DataFrame:
+    """lists with comp, the component of rep so far, and main, the one that most members of the key are in; only keys whose members are in several components."""
+    rows = lists.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    by = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    mixed = by.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("top.comp").alias("main"))
+    return rows.join(mixed, "key")
 
-    A set of up to WIDE values is its sketch. Of each sketch only the values that are rarest among all of them are looked up: so many that two sketches that pass have one of them in
-    common. A list in one component is passed over; in any other, members outside the list's main component meet the others, each pair at its first common value only.
+
+def across(hot: DataFrame, comp: DataFrame, docs: DataFrame, shingle: int = SHINGLE, again: bool = False) -> DataFrame:
+    """a < b: pairs of members of hot that are in different components so far, and that their whole sets do not rule out. again: a doc_id may have several rows, all of one set.
+
+    Two sets meet at their rarest common value. From there on each has only so many values left, and they share no more than the smaller rest: a member that has lost much of its
+    group's text meets nothing of its own size. Members outside a list's main component look up the others, by classes of the sizes that such a rest allows.
     """
-    sets = durable(wide(hot, docs, shingle))
-    values = sets.select("rep", "n", F.explode("w").alias("key"))
-    counts = values.groupBy("key").agg(F.count("*").alias("members"))
-    ranked = values.join(counts, "key").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("members", "key"))).alias("r"))
-    s = F.size("r")
-    # a whole set shares 80 per cent, less one for hashes that agree by chance; from 0.8 * WIDE values on it may meet a larger one, of which LEAST_WIDE are shared
-    long = F.when(s * 100 >= WIDE * PERCENT, s - LEAST_WIDE + 1).otherwise(s - F.ceil(s * PERCENT / 100) + 2)
-    named = comp.select(F.col("id").alias("rep"), "component")
-    rows = sets.join(ranked, ["rep", "n"]).join(named, "rep", "left").select("rep", "n", "w", F.coalesce("component", "rep").alias("comp"), F.slice(F.col("r.key"), F.lit(1), F.least(s, long).cast("int")).alias("first"))
-    rows = durable(rows)
-    by = rows.select("comp", F.explode("first").alias("key")).groupBy("key", "comp").agg(F.count("*").alias("members"))
-    mixed = by.groupBy("key").agg(F.max(F.struct("members", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("main.comp").alias("main"))
-    held = rows.select("*", F.explode("first").alias("key")).join(mixed, "key")
-    both, union = "size(array_intersect(x.w, y.w))", f"slice(array_sort(array_union(x.w, y.w)), 1, {WIDE})"
-    met = held.where("comp <> main").alias("x").join(
-        held.alias("y"),
-        F.expr(
-            f"""x.key = y.key AND x.comp <> y.comp AND 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n) AND get(array_intersect(x.first, y.first), 0) = x.key
-            AND if(greatest(x.n, y.n) <= {WIDE}, (100 + {PERCENT}) * ({both} + 1) >= {PERCENT} * (x.n + y.n), size(array_intersect(array_intersect(x.w, y.w), {union})) >= {LEAST_WIDE})"""
-        ),
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sh = Shingles(shingle)
+        for b in batches:
+            sets = [sh.of(t) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "n", "w"])
+
+    few = chosen(docs.select(F.col("doc_id").cast("long"), "text"), hot.select(F.col("rep").alias("doc_id")), "left_semi")
+    sets = durable(in_batches(few.dropDuplicates(["doc_id"]) if again else few).mapInArrow(rows, "rep long, n long, w array<long>"))
+    lists = prefixes(sets.select("rep", "n", F.explode("w").alias("key")), F.col("n"), F.ceil(F.col("n") * PERCENT / 100))
+    held = durable(in_several(durable(lists), comp))
+    of = lambda c: F.floor(F.log(c) / F.log(F.lit(SIZES)))
+    most = F.floor(((100 + PERCENT) * (F.col("n") - F.col("pos")) - PERCENT * F.col("n")) / PERCENT)
+    least = F.ceil(F.col("n") * PERCENT / 100)
+    out = held.where("comp <> main").withColumn("most", most).withColumn("least", least).where("most >= least").withColumn("size", F.explode(F.sequence(of(F.col("least")), of(F.col("most")))))
+    met = out.alias("x").join(
+        held.withColumn("size", of(F.col("n"))).alias("y"),
+        F.expr(f"""x.key = y.key AND x.size = y.size AND x.comp <> y.comp AND y.n BETWEEN x.least AND x.most
+            AND {100 + PERCENT} * (y.n - y.pos) >= {PERCENT} * (x.n + y.n) AND 100 * x.n >= {PERCENT} * y.n"""),
     )
     return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs that their union sketch does not rule out."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    df = pairs.join(side("a"), "a").join(side("b"), "b").where("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b)")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    few = durable(chosen(reps, need, "left_semi", "rep"))
+    side = lambda x: few.select(F.col("rep").alias(x), F.col("sketch").alias(f"s_{x}"))
+    df = pairs.join(side("a"), "a").join(side("b"), "b")
     df = df.withColumn("u", F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, SKETCH))
     shared = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), "u"))
     return df.where(shared * SKETCH >= LEAST_SHARED * F.size("u")).select("a", "b")
 
 
-def chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs whose doc_id is in ids (left_semi) or is not (left_anti); ids are sent around only if they are few."""
+def chosen(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+    """docs whose key is in ids (left_semi) or is not (left_anti); ids are sent around only if they are few."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
+    return docs.join(F.broadcast(ids) if few else ids, key, how)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, again: bool = False) -> DataFrame:
@@ -230,10 +216,11 @@ def components_of_sets(sk: DataFrame, docs: DataFrame, shingle: int, again: bool
     classes = durable(sk.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     reps = sk.join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).where(F.col("doc_id") == F.col("rep")).select("rep", "n", "sketch").dropDuplicates(["rep", "n"])
     reps = durable(reps)
-    pairs, hot = candidates(reps)
-    comp = components(verified(durable(estimated(pairs, reps)), docs, shingle, again))
+    lists = durable(listed(reps))
+    comp = components(verified(durable(estimated(durable(with_pivots(lists)), reps)), docs, shingle, again))
+    hot = durable(in_several(lists, comp).select("rep").distinct())
     if not hot.isEmpty():
-        more = durable(verified(durable(across(hot, comp, docs, shingle)), docs, shingle, again))
+        more = durable(verified(durable(across(hot, comp, docs, shingle, again)), docs, shingle, again))
         if not more.isEmpty():
             comp = components(more.unionByName(comp.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))))
     return classes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
