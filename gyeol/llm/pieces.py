@@ -10,6 +10,7 @@ give repeated rows; other columns are left alone; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -32,6 +33,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Characters of text that are encoded at once, and distinct words that a worker remembers.
 BATCH, WORDS = 1 << 18, 100_000
+#: Words that are one sequence to the library, and its threads in a worker, which has cores of an executor and not of the machine.
+SEQUENCE, THREADS = 200, "2"
 WORD = re.compile("\n+| *[^ \n]+| +")
 
 
@@ -93,6 +96,7 @@ def parse(data: bytes) -> Model:
 
 def build(m: Model):  # noqa: ANN201
     """The tokenizers pipeline of a parsed model."""
+    os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     unk = next((i for i, p in enumerate(m.pieces) if p[2] == UNKNOWN), None)
@@ -127,7 +131,7 @@ def build(m: Model):  # noqa: ANN201
 
 class Encoder:
     """Texts to ids, as the pipeline gives them. Where words can be encoded apart, each distinct one is encoded once (in batches, on several threads) and
-    remembered up to WORDS of them; else whole texts are encoded in batches."""
+    remembered up to about WORDS of them; else whole texts are encoded in batches."""
 
     def __init__(self, model: Model) -> None:
         from tokenizers import Tokenizer
@@ -135,24 +139,63 @@ class Encoder:
         self.model, self.table, self.pipeline = model, table_of(model), build(model)
         self.apart = self.pipeline.pre_tokenizer is not None and not model.charsmap and not model.squeeze and model.dummy_prefix and model.escape and not any("\n" in p for p, _, _ in model.pieces)
         self.words = Tokenizer(self.pipeline.model)
+        line = self.words.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 and model.pieces[line[0]][2] == BYTE else None
         self.seen: dict[str, bytes] = {}
+        self.other: set[str] = set()  # words of seen whose ids do not decode to them
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each."""
+        return self.checked(texts)[0]
+
+    def checked(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """The ids of each text, four bytes each, and whether they decode to the text as it is normalised.
+
+        Bytes of ids are joined in decoding, and words in a text; so where each word's ids decode to the word, the text's do to the text, and a word is decoded once."""
         if not self.apart:
-            return [np.array(e.ids, dtype=np.int32).tobytes() for e in self.pipeline.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = [np.array(e.ids, dtype=np.int32).tobytes() for e in self.pipeline.encode_batch_fast(texts, add_special_tokens=False)]
+            return ids, [self.reads_back(t, x) for t, x in zip(texts, ids, strict=True)]
         split = [self.split(t) for t in texts]
-        seen = self.seen
-        if len(seen) > WORDS:
+        seen, told = self.seen, self.table.__getitem__
+        here = set(chain.from_iterable(split))
+        new = list(here.difference(seen))
+        if len(seen) + len(new) > WORDS:  # words that two batches have in common stay
+            kept = {w: seen[w] for w in here.difference(new)}
             seen.clear()
-        new = list(set(chain.from_iterable(split)).difference(seen))
-        for k in range(0, len(new), 5_000):
-            part = new[k : k + 5_000]
-            marked = "\0".join(part).replace(" ", MARK).split("\0") if "\0" not in "".join(part) else [w.replace(" ", MARK) for w in part]
-            for w, e in zip(part, self.words.encode_batch_fast(marked, add_special_tokens=False), strict=True):
-                seen[w] = array("i", e.ids).tobytes()
-        get = seen.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+            seen.update(kept)
+        for k in range(0, len(new), 10_000):
+            part = new[k : k + 10_000]
+            ids = self.each(part)
+            seen.update(zip(part, ids, strict=True))
+            for i in range(0, len(part), SEQUENCE):  # decoded many at once, and one by one only where that differs
+                if b"".join(map(told, np.frombuffer(b"".join(ids[i : i + SEQUENCE]), dtype=np.int32).tolist())) != "".join(part[i : i + SEQUENCE]).encode(errors="surrogatepass"):
+                    self.other.update(w for w, x in zip(part[i : i + SEQUENCE], ids[i:], strict=False) if b"".join(map(told, np.frombuffer(x, dtype=np.int32).tolist())) != w.encode(errors="surrogatepass"))
+        get, other = seen.__getitem__, self.other
+        ids = [b"".join(map(get, ws)) for ws in split]
+        return ids, [not other or other.isdisjoint(ws) or self.reads_back(t, x) for t, ws, x in zip(texts, split, ids, strict=True)]
+
+    def each(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, four bytes each. Many words go to the library as one sequence, with line ends between them: no other word has the id of a line end."""
+        if self.line is None:
+            return [array("i", e.ids).tobytes() for e in self.words.encode_batch_fast([w.replace(" ", MARK) for w in words], add_special_tokens=False)]
+        out, lines = [], [w for w in words if "\n" in w]
+        if lines:
+            told = dict(zip(lines, (array("i", e.ids).tobytes() for e in self.words.encode_batch_fast(lines, add_special_tokens=False)), strict=True))
+        plain = [w.replace(" ", MARK) for w in words if "\n" not in w] if lines else [w.replace(" ", MARK) for w in words]
+        parts = [[x for w in plain[k : k + SEQUENCE] for x in (w, "\n")] for k in range(0, len(plain), SEQUENCE)]
+        for e in self.words.encode_batch_fast(parts, is_pretokenized=True, add_special_tokens=False):
+            ids = np.array(e.ids, dtype=np.int32)
+            ends = (np.flatnonzero(ids == self.line) * 4).tolist()
+            b = ids.tobytes()
+            out += [b[a:z] for a, z in zip([0, *(z + 4 for z in ends)], ends, strict=False)]
+        if lines:
+            rest = iter(out)
+            return [told[w] if w in told else next(rest) for w in words]
+        return out
+
+    def reads_back(self, text: str, ids: bytes) -> bool:
+        back = joined(map(self.table.__getitem__, np.frombuffer(ids, dtype=np.int32).tolist()), self.model.dummy_prefix)
+        return back == text or back == shown(self.pipeline.normalizer, text)
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -170,17 +213,12 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = once(("pieces", zlib.crc32(shared.value)), lambda: Encoder(parse(shared.value)))
-        model, normal, told = enc.model, enc.pipeline.normalizer, enc.table.__getitem__
         for b in batches:
             for part in slices(b):
                 texts = [t or "" for t in part["text"].to_pylist()]
-                ids = enc.encode(texts)
+                ids, same = enc.checked(texts)
                 flat = np.frombuffer(b"".join(ids), dtype=np.int32)
                 n = [len(x) // 4 for x in ids]
-                same = []
-                for t, x in zip(texts, ids, strict=True):
-                    back = joined(map(told, np.frombuffer(x, dtype=np.int32).tolist()), model.dummy_prefix)
-                    same.append(back == t or back == shown(normal, t))
                 ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"].cast(pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array(same, pa.bool_())],

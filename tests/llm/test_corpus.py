@@ -452,3 +452,12 @@ def test_unigram_models():
     tok = pieces.build(m)
     assert tok.encode(" ab  a ", add_special_tokens=False).ids == [4, 1, 2]
     assert pieces.decode(m, [4, 1, 2]) == "ab a"
+
+
+def test_words_in_one_sequence_have_their_own_ids():
+    enc = pieces.Encoder(pieces.parse(pieces.read_model(pieces.DEFAULT_MODEL)))
+    words = [" a", " größer,", "\n", "\n\n", "  ", " x\0y", " 🙂", "b" * 300] * 90
+    alone = [e.ids for e in enc.words.encode_batch_fast([w.replace(" ", pieces.MARK) for w in words], add_special_tokens=False)]
+    assert [np.frombuffer(x, dtype=np.int32).tolist() for x in enc.each(words)] == alone
+    enc.table[enc.words.encode("▁a", add_special_tokens=False).ids[0]] = b"?"  # a word that no longer decodes to itself
+    assert enc.checked(["b a b", "b b", ""])[1] == [False, True, True]
