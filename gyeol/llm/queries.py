@@ -64,8 +64,12 @@ d AS (SELECT r, k FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*)
 g AS (SELECT r, k, CASE WHEN k - lag(k) OVER (PARTITION BY r ORDER BY k) <= 400 THEN 0 ELSE 1 END AS f FROM d),
 i AS (SELECT r, s, min(k) AS a, max(k) + 400 AS e FROM (SELECT r, k, sum(f) OVER (PARTITION BY r ORDER BY k) AS s FROM g) GROUP BY r, s),
 p AS (SELECT r, s, e, a, x[2 * coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) + 1:2 * a] AS before, lead(e) OVER (PARTITION BY r ORDER BY s) IS NULL AS last, x FROM i JOIN b USING (r)),
+t AS (SELECT doc_id, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda y: y <> '') AS l FROM (SELECT DISTINCT doc_id, text FROM documents)),
+v AS (SELECT doc_id, text, md5_number(array_to_string(l[k:k + 50], ' ')) AS h FROM (SELECT doc_id, text, l, unnest(range(1, greatest(len(l) - 49, 1))) AS k FROM t)),
+u AS (SELECT DISTINCT doc_id, text FROM v WHERE h IN (SELECT h FROM (SELECT DISTINCT h, doc_id, text FROM v) GROUP BY h HAVING count(*) > 1)),
 q AS (SELECT r, string_agg(before || CASE WHEN last THEN x[2 * e + 1:] ELSE '' END, '' ORDER BY s) AS kept, sum(e - a) AS n, count(*) AS c FROM p GROUP BY r)
-SELECT doc_id, len(x) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+SELECT doc_id, len(x) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256,
+  EXISTS (SELECT 1 FROM u WHERE u.doc_id IS NOT DISTINCT FROM b.doc_id AND lower(hex(encode(coalesce(u.text, '')))) = b.x) AS repeats
 FROM b LEFT JOIN q USING (r)""",
     "op2_neardup": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents),

@@ -9,6 +9,9 @@ of the gram. There contexts arrive in batches. A batch gets two suffix arrays, o
 the existing levels for long matches, which are shares of both arrays that agree on LENGTH bytes together; levels of equal rank merge, so a context takes part in a logarithmic number of merges.
 A gram of more than HUGE anchors is never in one place: there each window's digest is counted instead, folded per task.
 
+Beside that, passages of PASSAGE words that stand in another document too are told of (column repeats), though many are shorter than LENGTH bytes. Each window of PASSAGE
+words goes to the place of its least gram of PASSAGE_GRAM words, as a hash, if that gram is in two documents at least. Two windows are equal by 96 bits of hashes.
+
 Defined cases: null texts are empty; texts under LENGTH bytes keep everything; repeated rows are repetitions of one another; rows of one doc_id
 that differ are documents of their own; spans that touch are one; other columns are left alone; an empty table gives no rows.
 """
@@ -16,6 +19,7 @@ that differ are documents of their own; spans that touch are one; other columns
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +43,9 @@ SENT = 200_000
 BROADCAST_IDS = 1_000_000
 BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 CHUNK = 1 << 18
+#: Words of a passage that is told of where it stands in another document too, and of the grams that bring equal passages together.
+PASSAGE, PASSAGE_GRAM = 51, 8
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _sliding(x: np.ndarray, n: int, of) -> np.ndarray:  # noqa: ANN001
@@ -50,6 +57,13 @@ def _sliding(x: np.ndarray, n: int, of) -> np.ndarray:  # noqa: ANN001
     return of(x[: len(x) - (n - k)], x[n - k :]) if n > k else x
 
 
+def _mixed(g: np.ndarray) -> np.ndarray:
+    g ^= g >> np.uint64(31)
+    g *= np.uint64(0xBF58476D1CE4E5B9)
+    g ^= g >> np.uint64(29)
+    return g
+
+
 class Anchors:
     """The anchors of byte strings: places and signed 64-bit hashes of their grams."""
 
@@ -74,15 +88,48 @@ class Anchors:
         p, first = np.unique(np.concatenate(places), return_index=True)
         return p, np.concatenate(grams)[first]
 
+    def words(self, data: bytes) -> np.ndarray:
+        """A 64-bit hash of each word (bytes other than white space) of a text, in pieces that end at white space."""
+        out, at = [], 0
+        while at < len(data):
+            c = np.frombuffer(data, dtype=np.uint8, count=min(CHUNK, len(data) - at), offset=at)
+            ink = np.concatenate([[False], (c > 32) | (c < 9) | ((c > 13) & (c < 32)), [False]])
+            if at + len(c) < len(data) and ink[-2]:
+                gaps = np.flatnonzero(~ink[1:-1])
+                if len(gaps):
+                    c = c[: gaps[-1] + 1]
+                else:  # one word longer than a piece
+                    m = SPACE.search(data, at)
+                    c = np.frombuffer(data, dtype=np.uint8, count=(m.start() if m else len(data)) - at, offset=at)
+                    ink = np.concatenate([[False], np.ones(len(c), dtype=bool), [False]])
+                ink = np.concatenate([ink[: len(c) + 1], [False]])
+            edge = np.flatnonzero(ink[1:] != ink[:-1])
+            a, e = edge[::2], edge[1::2]
+            self._powers(len(c) + 1)
+            s = np.zeros(len(c) + 1, dtype=np.uint64)
+            np.cumsum((c.astype(np.uint64) + np.uint64(1)) * self.up[: len(c)], out=s[1:])
+            out.append(_mixed((s[e] - s[a]) * self.down[a] + (e - a).astype(np.uint64)))
+            at += len(c)
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+    def passages(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Of each window of PASSAGE words: its least gram (signed 64 bits) and a hash of its own (32 bits)."""
+        w = self.words(data)
+        if len(w) < PASSAGE:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self._powers(len(w) + 1)
+        s = np.zeros(len(w) + 1, dtype=np.uint64)
+        np.cumsum(w * self.up[: len(w)], out=s[1:])
+        of = lambda n: _mixed((s[n:] - s[:-n]) * self.down[: len(w) - n + 1])
+        low = _sliding(of(PASSAGE_GRAM), PASSAGE - PASSAGE_GRAM + 1, np.minimum)
+        return low.view(np.int64), (of(PASSAGE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
     def _piece(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(c)
         self._powers(n + 1)
         s = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((c.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=s[1:])
-        g = (s[GRAM:] - s[:-GRAM]) * self.down[: n - GRAM + 1]
-        g ^= g >> np.uint64(31)
-        g *= np.uint64(0xBF58476D1CE4E5B9)
-        g ^= g >> np.uint64(29)
+        g = _mixed((s[GRAM:] - s[:-GRAM]) * self.down[: n - GRAM + 1])
         low = _sliding(g, WINDOW, np.minimum)
         pad = np.zeros(WINDOW - 1, dtype=np.uint64)
         most = _sliding(np.concatenate([pad, low, pad]), WINDOW, np.maximum)
@@ -96,12 +143,18 @@ def _bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """h, n: how many anchors each gram has; summed per task first."""
+    """h, n: how many anchors each gram has, and of grams of words how many documents have it as an anchor; summed per batch first."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = once(("anchors",), Anchors)
         for b in batches:
-            found = [anchors.of(x)[1] for i in range(b.num_rows) if len(x := _bytes(b.slice(i, 1))[0]) >= LENGTH]
+            found = []
+            for i in range(b.num_rows):
+                x = _bytes(b.slice(i, 1))[0]
+                if len(x) >= LENGTH:
+                    found.append(anchors.of(x)[1])
+                if len(x) >= 2 * PASSAGE - 1:
+                    found.append(np.unique(anchors.passages(x)[0]))
             h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
 
@@ -194,6 +247,98 @@ def occurrences(docs: DataFrame, bits, huge: set[int], what: str) -> DataFrame:
     return in_batches(docs).mapInArrow(rows, ", ".join(f"{k} {'long' if t == long else 'binary'}" for k, t in schema))
 
 
+def windows_of_words(docs: DataFrame, bits) -> DataFrame:  # noqa: ANN001
+    """h, doc_id, d, w: of each document the hashes of its windows of PASSAGE words, by their least gram, where the bitmap has that gram."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = once(("anchors",), Anchors)
+        for b in batches:
+            h, n, at, w, size = [], [], [], [], 0
+            for i in range(b.num_rows + 1):
+                if i == b.num_rows or size >= CHUNK:
+                    one = b.take(pa.array(np.repeat(at, n))) if at else b.slice(0, 0)
+                    ends = pa.array(np.concatenate([[0], *(e for e in h_ends(h))]).astype(np.int32)) if h else pa.array([0], pa.int32())
+                    flat = pa.array(np.concatenate(w)) if w else pa.array([], pa.int32())
+                    grams = pa.array(np.concatenate([g for g, _ in h])) if h else pa.array([], pa.int64())
+                    yield pa.RecordBatch.from_arrays([grams, one["doc_id"], one["d"], pa.ListArray.from_arrays(ends, flat)], ["h", "doc_id", "d", "w"])
+                    h, n, at, w, size = [], [], [], [], 0
+                if i == b.num_rows:
+                    break
+                x = _bytes(b.slice(i, 1))[0]
+                if len(x) < 2 * PASSAGE - 1:
+                    continue
+                low, own = anchors.passages(x)
+                if not len(low):
+                    continue
+                ok = _known(bits.value, low)
+                low, own = low[ok], own[ok]
+                if len(low):
+                    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+                    h.append((low[first], np.append(first[1:], len(low))))
+                    n.append(len(first))
+                    at.append(i)
+                    w.append(own)
+                    size += len(own)
+
+    return in_batches(docs.select("doc_id", "d", "text")).mapInArrow(rows, "h long, doc_id long, d long, w array<int>")
+
+
+def h_ends(h: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+    """The ends of consecutive lists, where each part's start from 0."""
+    at = 0
+    for _, ends in h:
+        yield ends + at
+        at += int(ends[-1])
+
+
+def with_passages(docs: DataFrame, bits, huge: set[int]) -> DataFrame:  # noqa: ANN001
+    """doc_id, d: the documents that hold a passage of PASSAGE words which a document of another id or text holds too."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def told(rows_: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(rows_).combine_chunks()
+            h, doc, d = t["h"].to_numpy(), t["doc_id"].fill_null(-1).to_numpy(), t["d"].to_numpy()
+            same = np.stack([doc, d, t["doc_id"].is_null().to_numpy().astype(np.int64)], 1)
+            who = np.unique(same, axis=0, return_inverse=True)[1].reshape(-1)
+            size = t["w"].combine_chunks().value_lengths().to_numpy()
+            w = t["w"].combine_chunks().flatten().to_numpy().view(np.uint32).astype(np.uint64)
+            key = _mixed((np.repeat(h.view(np.uint64), size) + w) * np.uint64(BASE))
+            at = np.repeat(np.arange(len(h)), size)
+            order = np.lexsort((who[at], key))
+            key, at = key[order], at[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            end = np.append(first[1:], len(key)) - 1
+            several = who[at[first]] != who[at[end]]
+            hit = np.unique(at[np.repeat(several, end - first + 1)])
+            return pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks().take(pa.array(hit)), pa.array(d[hit])], ["doc_id", "d"])
+
+        for b in batches:
+            h = b["h"].to_numpy()
+            cut = int(np.searchsorted(h, h[-1])) if len(h) else 0  # the last gram may go on in the next batch
+            if cut:
+                yield told([*held, b.slice(0, cut)])
+                held = []
+            if len(h):
+                if held and held[-1]["h"][0].as_py() != int(h[-1]):
+                    yield told(held)
+                    held = []
+                held.append(b.slice(cut))
+        if held:
+            yield told(held)
+
+    all_ = windows_of_words(docs, bits)
+    few = all_.where(~F.col("h").isin(sorted(huge))) if huge else all_
+    out = in_batches(few.repartition("h").sortWithinPartitions("h")).mapInArrow(rows, "doc_id long, d long")
+    if huge:
+        many = all_.where(F.col("h").isin(sorted(huge))).select("h", "doc_id", "d", F.explode("w").alias("w"))
+        who = F.struct("doc_id", "d")
+        several = many.groupBy("h", "w").agg(F.min(who).alias("a"), F.max(who).alias("b")).where("NOT a <=> b").select("h", "w")
+        out = out.unionByName(many.join(several, ["h", "w"], "left_semi").select("doc_id", "d"))
+    return out.distinct()
+
+
 def _lcp(sorted_: list[bytes]) -> np.ndarray:
     """Lengths of the common beginnings of neighbours."""
     n = np.array([len(x) for x in sorted_])
@@ -318,8 +463,8 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, d, spans: array of (a, b) of the bytes that repeat. docs: doc_id, d (hash of the text), text."""
+def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, d, spans: array of (a, b) of the bytes that repeat; and with_passages() of docs. docs: doc_id, d (hash of the text), text."""
     counts = durable(gram_counts(docs))
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(counts))
     huge = {r.h for r in counts.where(F.col("n") > HUGE).select("h").collect()}  # as many as all anchors / HUGE
@@ -331,21 +476,22 @@ def repeated(docs: DataFrame) -> DataFrame:
         many = w.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
         far = w.join(many, "w").select("doc_id", "d", F.struct(F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b")).alias("s"))
         spans = spans.unionByName(far)
-    return spans.groupBy("doc_id", "d").agg(F.collect_set("s").alias("spans"))
+    return spans.groupBy("doc_id", "d").agg(F.collect_set("s").alias("spans")), with_passages(docs, bits, huge)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("d"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = durable(repeated(docs))
+    spans, passages = repeated(docs)
+    spans, passages = durable(spans), durable(passages.select(F.col("doc_id").alias("pid"), F.col("d").alias("pd")))
     ids = spans.select(F.col("d").alias("hit")).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     ids = F.broadcast(ids) if few else ids
     whole = docs.join(ids, F.col("d") == F.col("hit"), "left_anti")
-    whole = whole.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    whole = whole.select("doc_id", "d", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
     part = docs.join(ids, F.col("d") == F.col("hit"), "left_semi")
     s = spans.select(F.col("doc_id").alias("sid"), F.col("d").alias("sd"), "spans")
-    part = part.join(s, F.col("doc_id").eqNullSafe(F.col("sid")) & (F.col("d") == F.col("sd")), "left").select("doc_id", "text", "spans")
+    part = part.join(s, F.col("doc_id").eqNullSafe(F.col("sid")) & (F.col("d") == F.col("sd")), "left").select("doc_id", "d", "text", "spans")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -359,6 +505,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 kept.update(x[at:])
                 out.append((doc, len(x), sum(e - a for a, e in runs), len(runs), kept.hexdigest()))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), b["d"]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "d"])
 
-    return whole.unionByName(in_batches(part).mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    out = whole.unionByName(in_batches(part).mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, d long"))
+    few = passages.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    out = out.join(F.broadcast(passages) if few else passages, F.col("doc_id").eqNullSafe(F.col("pid")) & (F.col("d") == F.col("pd")), "left")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("pd").isNotNull().alias("repeats"))

@@ -351,7 +351,40 @@ def test_repeats_equal_every_window(spark, monkeypatch, huge, batch):
     texts = [word(rnd.randrange(500)) + rnd.choice(passages)[rnd.randrange(3) :] + word(rnd.randrange(300)) + rnd.choice(["", rnd.choice(passages)]) for _ in range(30)]
     texts += ["a" * 1200, "ab" * 500, "", "x" * 399, texts[0], word(800)]
     got = {r.doc_id: r for r in suffixes.deduplicated(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
-    assert [tuple(got[i])[1:] for i in range(len(texts))] == removed(texts)
+    assert [tuple(got[i])[1:5] for i in range(len(texts))] == removed(texts)
+
+
+@pytest.mark.parametrize("huge", [suffixes.HUGE, 1])
+def test_passages_of_other_documents_equal_every_window(spark, monkeypatch, huge):
+    """Passages of 49 to 70 words, some of them under 400 bytes, some repeated in one document only; white space differs."""
+    monkeypatch.setattr(suffixes, "HUGE", huge)
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdé") for _ in range(rnd.randrange(1, 5)))
+    passages = [[word() for _ in range(n)] for n in (49, 50, 50, 51, 51, 52, 60, 70)]
+    rows = []
+    for i in range(60):
+        w = [word() for _ in range(rnd.randrange(90))]
+        w[rnd.randrange(len(w) + 1) :] = rnd.choice([[], passages[i % 8]]) + [word() for _ in range(rnd.randrange(60))]
+        rows.append((i, rnd.choice([" ", "\n"]).join(w)))
+    once = " ".join(word() for _ in range(55))
+    rows += [(100, f"{once} {once}"), (101, rows[3][1]), (102, None), (103, "a " * 50), (104, "a " * 51), (105, "a " * 51), (105, "a " * 51), (None, " ".join(passages[-1])), (107, once[: len(once) // 2])]
+    seen = {}
+    lists = {(i, t): re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
+    for who, w in lists.items():
+        for k in range(len(w) - 50):
+            seen.setdefault(tuple(w[k : k + 51]), set()).add(who)
+    want = {who for x in seen.values() if len(x) > 1 for who in x}
+    got = suffixes.deduplicated(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == len(rows) and sorted((r.doc_id or -1, r.n_bytes, r.repeats) for r in got) == sorted((i or -1, len((t or "").encode()), (i, t) in want) for i, t in rows)
+
+
+def test_words_in_pieces(monkeypatch):
+    rnd = random.Random(2)
+    x = bytes(rnd.choice(b"abcd \n") for _ in range(5000)) + b"y" * 900 + b" z"
+    whole = suffixes.Anchors().words(x)
+    assert len(whole) == len(x.split())
+    monkeypatch.setattr(suffixes, "CHUNK", 300)
+    assert suffixes.Anchors().words(x).tolist() == whole.tolist()
 
 
 def test_long_documents_in_pieces(monkeypatch):
