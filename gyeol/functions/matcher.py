@@ -7,7 +7,7 @@ are characters here and become UTF-8 bytes in spans().
 from __future__ import annotations
 
 import re
-from collections import OrderedDict
+from bisect import bisect_left
 from dataclasses import dataclass
 
 from gyeol.functions import hangul as H
@@ -54,7 +54,6 @@ class Matcher:
                 first.setdefault(p.anchor[0], []).append((p.anchor, p))
             self.by_atom.append(first)
             self.starts.append(re.compile("[" + "".join(map(re.escape, first)) + "]"))
-        self.cache: OrderedDict = OrderedDict()
 
     # one program at one place
 
@@ -176,7 +175,7 @@ class Matcher:
         if not all(layers):
             return
         breaks = [i for i, c in enumerate(text) if c in "\r\n" or 0xDC80 <= ord(c) <= 0xDCFF]
-        line = lambda i: len(breaks) if not breaks else __import__("bisect").bisect_left(breaks, i)
+        line = lambda i: len(breaks) if not breaks else bisect_left(breaks, i)
         follows = lambda a, b: a.end <= b.start <= a.end + self.plan.max_gap and line(a.end) == line(b.start)
         # from the end: the best final end that each span reaches, and the next span on the way
         best: list[dict[int, tuple[int, int | None]]] = [{} for _ in layers]
@@ -185,7 +184,7 @@ class Matcher:
             after = layers[n + 1]
             starts = [s.start for s in after]
             for k, s in enumerate(layers[n]):
-                j = __import__("bisect").bisect_left(starts, s.end)
+                j = bisect_left(starts, s.end)
                 while j < len(after) and after[j].start <= s.end + self.plan.max_gap:
                     if j in best[n + 1] and follows(s, after[j]) and (k not in best[n] or best[n + 1][j][0] > best[n][k][0]):
                         best[n][k] = (best[n + 1][j][0], j)

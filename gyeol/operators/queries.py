@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from gyeol.functions import sql as functions
 from gyeol.functions.structure import Components
-from gyeol.operators import explain, search, sinks
+from gyeol.operators import explain, lexicons, search, sinks
+from gyeol.plans import grammar
 from gyeol.plans.compiler import compile_query
 from gyeol.plans.lexer import Options
 
@@ -181,7 +182,13 @@ def text_output(spark: SparkSession, d: str) -> DataFrame:
     return sinks.text_lines(search.matching_lines(docs(spark, d), "License", LITERAL), "doc_id")
 
 
-@query("json_output")
+@query("json_output", rf"""WITH {LINES}, p AS (SELECT *, string_split(line, 'License') AS p FROM lines WHERE contains(line, 'License')),
+m AS (SELECT doc_id, line_number, byte_offset, line, k, array_to_string(p[1:k], 'License') AS before FROM (SELECT *, unnest(range(1, len(p))) AS k FROM p)),
+s AS (SELECT *, octet_length(encode(before)) AS a, octet_length(encode(before)) + 7 AS e FROM m)
+SELECT CAST(to_json(struct_pack("type" := 'match', "path" := struct_pack("text" := CAST(doc_id AS VARCHAR)), line_number := line_number, absolute_offset := byte_offset, lines := struct_pack("text" := regexp_replace(line, '[\r\n]+$', '')),
+  matches := list(struct_pack(match_index := k - 1, "start" := a, "end" := e, "column" := length(before) + 1, surface := 'License', atoms := [struct_pack("start" := a, "end" := e, core_start := a, core_end := e, surface := 'License',
+    origins := [struct_pack(analysis := 0, lemma := 'License', pos := 'LIT', rules := CAST([] AS VARCHAR[]))])]) ORDER BY k))) AS VARCHAR) AS json
+FROM s GROUP BY doc_id, line_number, byte_offset, line""")
 def json_output(spark: SparkSession, d: str) -> DataFrame:
     return sinks.json_lines(search.find_all(docs(spark, d), "License", LITERAL), "doc_id")
 
@@ -323,10 +330,30 @@ def plan_programs(spark: SparkSession, d: str) -> DataFrame:
     return explain.programs(spark, compile_query("v:걷다 n:길", ANY))
 
 
-@query("lexicon_stats", "SELECT count(*) AS entries, count(DISTINCT n_name) AS lemmas, 0 AS ambiguous FROM nation")
-def lexicon_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Statistics of a part-of-speech list: entries, lemmas, lemmas of several parts of speech."""
-    rows = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("lemma"), F.lit("NNP").alias("pos")).distinct()
-    per = rows.groupBy("lemma").agg(F.count("*").alias("n"))
-    return per.agg(F.sum("n").alias("entries"), F.count("*").alias("lemmas"), F.count_if(F.col("n") > 1).cast("int").alias("ambiguous"))
+POS_VALUES = ", ".join(f"('{r['lemma']}', '{r['pos']}')" for name in ("predicates", "nominals", "modifiers") for r in grammar.TABLES[name])
+
 
+@query("lexicon_stats", f"""WITH l AS (SELECT DISTINCT lemma, pos FROM (VALUES {POS_VALUES}) v(lemma, pos))
+SELECT count(*) AS entries, count(DISTINCT lemma) AS lemmas, (SELECT count(*) FROM (SELECT lemma FROM l GROUP BY lemma HAVING count(*) > 1)) AS ambiguous FROM l""")
+def lexicon_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of the small lexicon's parts of speech."""
+    return lexicons.pos_stats(lexicons.builtin_pos(spark))
+
+
+@query("check_data", f"""SELECT count(*) FILTER (name = 'predicates') AS n_predicates, count(*) FILTER (name = 'nominals') AS n_nominals, count(*) FILTER (name = 'modifiers') AS n_modifiers, CAST(0 AS BIGINT) AS n_problems
+FROM (VALUES {", ".join(f"('{name}')" for name in ("predicates", "nominals", "modifiers") for _ in grammar.TABLES[name])}) v(name)""")
+def check_data(spark: SparkSession, d: str) -> DataFrame:
+    """The report on the grammar's and the lexicon's own tables."""
+    return lexicons.data_report(spark).select("n_predicates", "n_nominals", "n_modifiers", "n_problems")
+
+
+#: A byte that is no UTF-8 stands between the halves of each text; what crosses it is no match.
+@query("broken_bytes", r"""SELECT doc_id, (length(a) - length(replace(a, 'tion', '')) + length(b) - length(replace(b, 'tion', ''))) // 4 AS n, octet_length(encode(a)) + 1 + octet_length(encode(b)) AS n_bytes FROM (SELECT doc_id,
+  replace(replace(left(text, length(text) // 2), chr(10), ' '), chr(13), ' ') AS a, replace(replace(substr(text, length(text) // 2 + 1), chr(10), ' '), chr(13), ' ') AS b FROM documents) WHERE contains(a, 'tion') OR contains(b, 'tion')""")
+def broken_bytes(spark: SparkSession, d: str) -> DataFrame:
+    one_line = F.translate("text", "\r\n", "  ")
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    raw = F.concat(F.encode(F.substring(one_line, F.lit(1), half), "UTF-8"), F.unhex(F.lit("FF")), F.encode(F.substring(one_line, half + 1, F.char_length("text")), "UTF-8"))
+    broken = docs(spark, d).select("doc_id", raw.cast("string").alias("text"))
+    found = search.find_all(broken, "tion", LITERAL)
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.octet_length("line")).cast("long").alias("n_bytes"))

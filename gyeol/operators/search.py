@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -50,13 +51,19 @@ def candidate(c: Column, plan: Plan) -> Column:
     return out
 
 
+def split_lines(text: Column) -> Column:
+    """The lines of a text. Splitting would turn bytes that are no UTF-8 into others; texts with such bytes are split as bytes."""
+    raw = F.transform(F.split(F.decode(text.cast("binary"), "ISO-8859-1"), "\n", -1), lambda x: F.encode(x, "ISO-8859-1").cast("string"))
+    return F.when(F.is_valid_utf8(text), F.split(text, "\n", -1)).otherwise(raw)
+
+
 def lines(df: DataFrame, text: str = "text", keep: list[str] | None = None, where: Column | None = None) -> DataFrame:
     """The kept columns, line_number (from 1), byte_offset and line. A line end at the end of a text begins no line. where: which whole texts are split at all."""
     keep = [c for c in df.columns if c != text] if keep is None else keep
     src = df.where(F.col(text).isNotNull())
     src = src if where is None else src.where(where)
-    src = src.select(*keep, F.col(text).alias("__text"), F.posexplode(F.split(text, "\n", -1)).alias("__n", "line"))
-    src = src.where((F.col("line") != "") | (F.col("__n") < F.size(F.split("__text", "\n", -1)) - 1))
+    src = src.select(*keep, F.col(text).alias("__text"), F.posexplode(split_lines(F.col(text))).alias("__n", "line"))
+    src = src.where((F.col("line") != "") | (F.col("__n") < F.expr(r"octet_length(__text) - octet_length(replace(__text, '\n', ''))")))
     before = F.when(F.col("__n") == 0, F.lit(0)).otherwise(F.expr(r"octet_length(substring_index(__text, '\n', __n)) + 1"))
     return src.select(*keep, (F.col("__n") + 1).cast("long").alias("line_number"), before.cast("long").alias("byte_offset"), "line")
 
@@ -69,12 +76,23 @@ def candidate_lines(df: DataFrame, plan: Plan, text: str = "text", keep: list[st
     return lines(df, text, keep, candidate(F.col(text), plan)).where(candidate(F.col("line"), plan))
 
 
+def decoded(column: pa.Array) -> list[str | None]:
+    """The lines of a batch. Bytes that are no UTF-8 become surrogates: they match nothing, and no phrase goes across them."""
+    raw = column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
+    return [None if x is None else x.decode("utf-8", "surrogateescape") for x in raw]
+
+
+def shown(text: str) -> str:
+    """What goes out as text: a byte that is no UTF-8 is U+FFFD there; offsets still count it as one byte."""
+    return text if text.isascii() else text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+
+
 def _kernel(plan: Plan, components: Components | None, mode: str, limit: int):  # noqa: ANN202
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(plan, components)
         kinds = [(a.lemma, a.pos) for p in plan.atoms for a in p.analyses] if len(plan.atoms) == 1 else None
         for b in batches:
-            texts = b["line"].to_pylist()
+            texts = decoded(b["line"])
             if mode == "exists":
                 yield b.filter(pa.array([t is not None and m.exists(t) for t in texts], pa.bool_()))
                 continue
@@ -86,11 +104,11 @@ def _kernel(plan: Plan, components: Components | None, mode: str, limit: int):
                     for n, s in enumerate(spans):
                         names = kinds or [(a.lemma, a.pos) for a in plan.atoms[n].analyses]
                         atoms.append({
-                            "start": off[s.start], "end": off[s.end], "core_start": off[s.core_start], "core_end": off[s.core_end], "surface": t[s.start : s.end],
+                            "start": off[s.start], "end": off[s.end], "core_start": off[s.core_start], "core_end": off[s.core_end], "surface": shown(t[s.start : s.end]),
                             "origins": [{"analysis": i_, "lemma": names[i_][0], "pos": names[i_][1], "rules": list(r)} for i_, r in s.origins],
                         })
                     take.append(i)
-                    found.append((k, off[spans[0].start], off[spans[-1].end], spans[0].start + 1, t[spans[0].start : spans[-1].end], atoms))
+                    found.append((k, off[spans[0].start], off[spans[-1].end], spans[0].start + 1, shown(t[spans[0].start : spans[-1].end]), atoms))
             origin = pa.list_(pa.struct([("analysis", pa.int32()), ("lemma", pa.string()), ("pos", pa.string()), ("rules", pa.list_(pa.string()))]))
             atom = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "end", "core_start", "core_end")] + [("surface", pa.string()), ("origins", origin)]))
             kinds_ = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), atom]
@@ -211,7 +229,7 @@ def many(df: DataFrame, queries: dict[str, str | Plan], options: Options | None
     """Several queries over one scan: the columns of find_all and query."""
     plans = {k: plan_of(q, options, lexicon) for k, q in queries.items()}
     keep = [c for c in df.columns if c != text] if keep is None else keep
-    test = lambda c: __import__("functools").reduce(lambda a, b: a | b, [candidate(c, p) for p in plans.values()])
+    test = lambda c: reduce(lambda a, b: a | b, [candidate(c, p) for p in plans.values()])
     src = lines(df, text, keep, test(F.col(text))).where(test(F.col("line")))
     kernels = {k: _kernel(p, components, "spans", MATCHES) for k, p in plans.items()}
 

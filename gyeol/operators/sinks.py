@@ -47,12 +47,20 @@ def lossless(raw: Column) -> Column:
     return F.struct(F.when(ok, raw.cast("string")).alias("text"), F.when(~ok, F.base64(raw)).alias("bytes"))
 
 
-def json_lines(found: DataFrame, key: str) -> DataFrame:
-    """One column, json: a record per matching line with its spans and their atoms."""
+def json_lines(found: DataFrame, key: str, around: DataFrame | None = None) -> DataFrame:
+    """One column, json: a record per matching line with its spans and their atoms. around, the rows of search.context(), adds a record per line of context
+    and a context_break before each gap; then order (the key, line and kind that records are sorted by) comes first."""
     spans = F.array_sort(F.collect_list(F.struct("match_index", "start", "end", "column", "surface", "atoms")))
     df = found.groupBy(key, "line_number", "byte_offset", "line").agg(spans.alias("matches"))
     path = F.struct(F.col(key).cast("string").alias("text"))
-    return df.select(F.to_json(F.struct(F.lit("match").alias("type"), path.alias("path"), "line_number", F.col("byte_offset").alias("absolute_offset"), F.struct(content(F.col("line")).alias("text")).alias("lines"), "matches")).alias("json"))
+    lines = F.struct(content(F.col("line")).alias("text")).alias("lines")
+    record = F.to_json(F.struct(F.lit("match").alias("type"), path.alias("path"), "line_number", F.col("byte_offset").alias("absolute_offset"), lines, "matches")).alias("json")
+    if around is None:
+        return df.select(record)
+    order = lambda rank: F.struct(key, "line_number", F.lit(rank).alias("rank")).alias("order")
+    near = around.where("kind = 'context'").select(order(1), F.to_json(F.struct(F.lit("context").alias("type"), path.alias("path"), "line_number", lines)).alias("json"))
+    gaps = around.where("break_before").select(order(0), F.to_json(F.struct(F.lit("context_break").alias("type"), path.alias("path"))).alias("json"))
+    return df.select(order(1), record).unionByName(near).unionByName(gaps)
 
 
 def exit_status(has_match: bool, errors: int = 0) -> int:

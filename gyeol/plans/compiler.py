@@ -103,7 +103,7 @@ class Compiler:
         self.excluded: set[str] = set()
         everything = particles.rules_of()
         self.noun = Consumption("particles", first=everything, allowed=everything)
-        self.adverb = Consumption("particles", first=particles.rules_of("aux", "a"), allowed=particles.rules_of("aux"))
+        self.adverb = Consumption("particles", first=particles.rules_of("auxiliary", "adverb"), allowed=particles.rules_of("auxiliary"))
 
     def known(self, rules: tuple[str, ...]) -> bool:
         bad = [r for r in rules if r not in grammar.known_rules() and r not in grammar.INTERNAL]

@@ -7,9 +7,10 @@ from dataclasses import dataclass, replace
 from functools import cache
 
 from gyeol.functions import hangul as H
-from gyeol.plans import grammar
+from gyeol.plans import grammar, tables
 from gyeol.plans.lexer import Atom
 from gyeol.plans.predicates import GenerateError, Predicate, branches
+from gyeol.plans.tables import DataError
 
 COARSE = {
     "NNG": "Noun", "NNP": "Noun", "NNB": "Noun", "NP": "Pronoun", "NR": "Numeral", "VV": "Verb", "VX": "Verb", "VCP": "Adjective", "VCN": "Adjective", "VA": "Adjective", "VXA": "Adjective",
@@ -23,10 +24,6 @@ class AnalyzeError(ValueError):
     pass
 
 
-class DataError(ValueError):
-    pass
-
-
 @dataclass(frozen=True)
 class Analysis:
     """What an atom may be. kind: predicate, nominal, particle, exact. source: builtin, enriched, full-pos, user, productive, heuristic, forced."""
@@ -77,16 +74,9 @@ def plain(lemma: str, pos: str, source: str) -> Analysis:
     return Analysis(lemma, pos, "exact", source)
 
 
-def predicate_line(text: str) -> list[Predicate]:
-    head, _, lemmas = text.partition(": ")
-    pos, alt = head.split()
-    out = []
-    for x in lemmas.split():
-        x, *fixed = x.split("=")
-        lemma, _, flags = x.partition("/")
-        names = {"R": "RIEUL_DROP", "E": "EU_DROP", "I": "NO_I_EO_CONTRACTION", "D": "NO_DECLARATIVE_CONTINUATION"}
-        out.append(Predicate(lemma, pos, alt, frozenset(names[f] for f in flags), tuple(tuple(f.split(":")) for f in fixed)))
-    return out
+def predicates_of(rows: list[dict[str, str]]) -> list[Predicate]:
+    """Rows of a table of predicates: lemma, pos, alternation, flags, overrides."""
+    return [Predicate(r["lemma"], r["pos"], r["alternation"], frozenset(filter(None, r["flags"].split("|"))), tables.pairs(r["overrides"])) for r in rows]
 
 
 class Lexicon:
@@ -96,24 +86,17 @@ class Lexicon:
         self.entries: dict[str, list[Analysis]] = {}
         self.full: dict[str, list[str]] | None = None
         self.replaced: set[tuple[str, str]] = set()
-        for line in grammar.PREDICATES.strip().splitlines():
-            for p in predicate_line(line):
-                self.put(p.lemma, Analysis(p.lemma, p.pos, "predicate", "builtin", p))
-        for line in grammar.NOMINALS.splitlines():
-            pos, _, words = line.partition(": ")
-            for w in words.split():
-                lemma, *fixed = w.split("=")
-                self.put(lemma, Analysis(lemma, pos, "nominal", "builtin", overrides=tuple((f"particle.{r}", s) for r, s in (f.split(":") for f in fixed))))
-        for line in grammar.MODIFIERS.splitlines():
-            pos, _, words = line.partition(": ")
-            for w in words.split():
-                self.put(w, Analysis(w, pos, "exact", "builtin"))
+        for p in predicates_of(grammar.TABLES["predicates"]):
+            self.put(p.lemma, Analysis(p.lemma, p.pos, "predicate", "builtin", p))
+        for r in grammar.TABLES["nominals"]:
+            self.put(r["lemma"], Analysis(r["lemma"], r["pos"], "nominal", "builtin", overrides=tables.pairs(r["overrides"])))
+        for r in grammar.TABLES["modifiers"]:
+            self.put(r["lemma"], Analysis(r["lemma"], r["pos"], "exact", "builtin"))
         forms: dict[str, list[str]] = {}
         for f in grammar.particles()[0]:
             forms.setdefault(f.rule, []).append(f.form)
-        for x in grammar.PARTICLE_LEMMAS.split():
-            lemma, _, rule = x.partition(":")
-            rule = f"particle.{rule}"
+        for r in grammar.TABLES["particle_lemmas"]:
+            lemma, rule = r["lemma"], r["rule"]
             for v in forms[rule]:
                 self.put(v, Analysis(lemma, "J", "particle", "builtin", variants=tuple(forms[rule]), rule=rule))
 
@@ -240,6 +223,29 @@ def builtin() -> Lexicon:
     return Lexicon()
 
 
+def check_data(given: dict[str, str] | None = None) -> dict[str, int | str]:
+    """Counts of the grammar and the small lexicon, and what is wrong with them: one row of a report. given: text of tables that stand in for the package's."""
+    out: dict[str, int | str] = {}
+    rows, wrong = dict(grammar.TABLES), []
+    for name, text in (given or {}).items():
+        try:
+            rows[name] = tables.parse(name, text)
+        except DataError as e:
+            wrong.append(str(e))
+    wrong += tables.problems(rows)
+    alternations = {r["name"] for r in rows["alternations"]}
+    for r in rows["predicates"]:
+        try:
+            if r["alternation"] in alternations:
+                validate(predicates_of([r])[0])
+        except DataError as e:
+            wrong.append(str(e))
+    for name in tables.COLUMNS:
+        out[f"n_{name}"] = len(rows[name])
+    out["n_problems"], out["problems"] = len(wrong), "\n".join(wrong)
+    return out
+
+
 def pos_stats(rows: list[tuple[str, str]]) -> dict[str, int]:
     """Of a part-of-speech list: entries, different lemmas, lemmas of several parts of speech."""
     by: dict[str, set[str]] = {}

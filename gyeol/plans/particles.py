@@ -42,7 +42,7 @@ def exact(core: str, following: str) -> tuple[str, ...] | None:
 
 def auxiliary_exact(core: str, following: str) -> tuple[str, ...] | None:
     rules = exact(core, following)
-    aux = {f.rule for f in grammar.particles()[0] if f.role == "aux"}
+    aux = {f.rule for f in grammar.particles()[0] if f.role == "auxiliary"}
     return rules if rules and all(r in aux for r in rules) else None
 
 

@@ -83,15 +83,43 @@ def _special(spark: SparkSession, root: str) -> list[tuple[str, bytes]]:
     return out
 
 
-def read_files(spark: SparkSession, paths: list[str], globs: list[str] = (), types: list[str] = (), define: list[str] = (), hidden: bool = False, no_ignore: bool = False, explicit: list[str] = ()) -> DataFrame:
-    """path (relative to the root it was found under), content, length. globs beginning with ! exclude; explicit files are read whatever the rules say."""
+def present(spark: SparkSession, path: str, issues: list[tuple[str, str, str]]) -> bool:
+    """Whether a path can be listed; if not, an issue says why."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        top.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(top)
+    except Exception as e:  # noqa: BLE001
+        issues.append((path, "walk", str(getattr(e, "java_exception", e)).partition("\n")[0]))
+        return False
+    return True
+
+
+def issue_rows(spark: SparkSession, issues: list[tuple[str, str, str]], files: DataFrame | None = None) -> DataFrame:
+    """path, kind, message: what could not be read. kind: walk (a path that is not there), or input (a file whose bytes are not all text). A search goes on without them."""
+    out = spark.createDataFrame(issues, "path string, kind string, message string")
+    if files is not None:
+        bad = decoded(files).where("NOT valid_utf8 AND text IS NOT NULL")
+        out = out.unionByName(bad.select("path", F.lit("input").alias("kind"), F.lit("bytes that are no UTF-8 match nothing").alias("message")))
+    return out
+
+
+def read_files(spark: SparkSession, paths: list[str], globs: list[str] = (), types: list[str] = (), define: list[str] = (), hidden: bool = False, no_ignore: bool = False, explicit: list[str] = (), issues: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """path (relative to the root it was found under), content, length. globs beginning with ! exclude; explicit files are read whatever the rules say.
+
+    issues: where given, a path that is not there is noted in it and passed over, and files that vanish or are broken when they are read are passed over; else they are errors."""
     kinds = {k: list(v) for k, v in TYPES.items()}
     for d in define:
         name, _, g = d.partition(":")
         kinds.setdefault(name, []).append(g)
     out = None
-    for root in dict.fromkeys(paths or ["."]):
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    roots, calm = list(dict.fromkeys(paths or ["."])), issues is not None
+    if calm:
+        roots, explicit = [p for p in roots if present(spark, p, issues)], [p for p in explicit if present(spark, p, issues)]
+    source = lambda: spark.read.format("binaryFile").option("ignoreMissingFiles", calm).option("ignoreCorruptFiles", calm)
+    if not roots:
+        out = spark.createDataFrame([], "path string, content binary, length long")
+    for root in roots:
+        raw = source().option("recursiveFileLookup", True).load(root)
         prefix = re.escape(root.split("://")[-1].rstrip("/"))
         df = raw.select(F.regexp_replace("path", rf"^[a-z0-9+.-]+:/*(?=/)(?:/[^/]*(?=/))?.*?{prefix}/", "").alias("path"), "content", "length")
         special = _special(spark, root)
@@ -116,7 +144,7 @@ def read_files(spark: SparkSession, paths: list[str], globs: list[str] = (), typ
             df = df.where(~matches_glob(F.col("path"), g))
         out = df if out is None else out.unionByName(df)
     for p in explicit:
-        one = spark.read.format("binaryFile").load(p).select(F.lit(p).alias("path"), "content", "length")
+        one = source().load(p).select(F.lit(p).alias("path"), "content", "length")
         out = out.join(one.select("path"), "path", "left_anti").unionByName(one)
     return out
 
@@ -138,7 +166,8 @@ def decoded(files: DataFrame, encoding: str = "auto") -> DataFrame:
         le, be = (F.lit(encoding == "utf-16le"), F.lit(encoding == "utf-16be")) if encoding != "auto" else (mark == "FFFE", mark == "FEFF")
         utf8 = F.when(F.hex(F.substring(c, 1, 3)) == "EFBBBF", F.substring(c, 4, 2**31 - 1)).otherwise(c)
         t = F.when(le, F.decode(c, "UTF-16LE")).when(be, F.decode(c, "UTF-16BE")).otherwise(utf8.cast("string"))
-        df = files.select("path", F.regexp_replace(t, "^﻿", "").alias("t"), (le | be | F.is_valid_utf8(utf8.cast("string"))).alias("valid"))
+        mark = F.lit("\ufeff")  # no regular expression here: it would turn bytes that are no UTF-8 into others
+        df = files.select("path", F.when(F.startswith(t, mark), F.substring(t, 2, 2**31 - 1)).otherwise(t).alias("t"), (le | be | F.is_valid_utf8(utf8.cast("string"))).alias("valid"))
     at = F.instr("t", "\0")
     return df.select("path", F.when(at > 0, F.substring("t", F.lit(1), at - 1)).otherwise(F.col("t")).alias("text"), F.when(at > 0, F.octet_length(F.substring("t", F.lit(1), at - 1)).cast("long")).alias("binary_byte_offset"), F.col("valid").alias("valid_utf8"))
 
