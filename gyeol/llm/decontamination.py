@@ -2,12 +2,13 @@
 
 Documents and benchmark items are sequences of lower-cased words. A few fixed masks look at five words of a window and ignore those
 between; equal hashes under a mask, at a document's and an item's place, are a hit. Each hit fixes how the two are aligned; along that diagonal a
-window of WINDOW words (the whole item, if shorter) must have 80 per cent of its words equal. With up to three words in fifteen replaced by others, one of the
-masks always hits; of an item under eight words, five in a row must be equal.
+window of WINDOW words (the whole item, if shorter) must have 80 per cent of its words equal. Whichever words of such a window are replaced by others, one of the
+masks hits (tests try all choices): three masks of five words do for whole windows, items shorter than one have four masks of four words. So the search loses no overlap of this kind.
 
 The benchmark is cut into blocks of a bounded number of items, each of which is sent to the executors in turn; documents are read whole, where they lie.
 
-Defined cases: null texts are empty; items of fewer than five words are too short to tell and match nothing; a null item_id is kept as null;
+Defined cases: null texts are empty; items of fewer than five words match nothing, since such words stand in clean documents too; places before or after a document's words count as
+unequal; very long texts are hashed CHUNK words' worth of documents at a time, the longest one whole, and hits are looked at HITS at a time; a null item_id is kept as null;
 repeated documents or items give repeated results, one row per document and item; other columns are left alone; empty tables give no rows.
 """
 
@@ -24,6 +25,10 @@ from pyspark.sql import functions as F
 from gyeol.llm.common import in_batches
 
 MASKS = ["11111", "111011", "1101011"]
+#: For items that are shorter than a window.
+SHORT_MASKS = ["1111", "11011", "10111", "11101"]
+#: Seed hits that are looked at together.
+HITS = 500_000
 LEAST_WORDS = 5
 WINDOW = 13
 #: Words of benchmark that are sent to the executors at once.
@@ -46,61 +51,76 @@ class Seeds:
         texts = [w for _, w in items if len(w) >= LEAST_WORDS]
         self.vocab = {w: k + 1 for k, w in enumerate(dict.fromkeys(x for t in texts for x in t))}
         self.texts = [np.array([self.vocab[x] for x in t], dtype=np.uint64) for t in texts]
-        gap = np.zeros(max(map(len, MASKS)), dtype=np.uint64)
-        flat = np.concatenate([np.concatenate([t, gap]) for t in self.texts]) if texts else gap
-        owner = np.concatenate([np.full(len(t) + len(gap), k) for k, t in enumerate(self.texts)]) if texts else gap.astype(int)
-        start = np.concatenate([np.arange(len(t) + len(gap)) for t in self.texts]) if texts else gap.astype(int)
-        self.tables = []
-        for m in MASKS:
-            h, ok = hashes(flat, m)
+        self.gap = max(map(len, MASKS + SHORT_MASKS))
+        short = [k for k, t in enumerate(self.texts) if len(t) < WINDOW]
+        whole = [k for k, t in enumerate(self.texts) if len(t) >= WINDOW]
+        self.tables = [(m, *self.table(m, of)) for masks, of in ((MASKS, whole), (SHORT_MASKS, short)) if of for m in masks]
+
+    def table(self, mask: str, of: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which first bits of hashes there are; the hashes of the items numbered in of, sorted; their items; their places."""
+        gap = np.zeros(self.gap, dtype=np.uint64)
+        flat = np.concatenate([x for k in of for x in (self.texts[k], gap)])
+        size = [len(self.texts[k]) + self.gap for k in of]
+        owner, start = np.repeat(of, size), np.concatenate([np.arange(n) for n in size])
+        h, ok = hashes(flat, mask)
+        at = np.flatnonzero(ok)
+        order = at[np.argsort(h[at], kind="stable")]
+        bits = np.zeros(1 << BITS, dtype=bool)
+        bits[h[order] >> np.uint64(64 - BITS)] = True
+        return bits, h[order], owner[order], start[order]
+
+    def hits(self, flat: np.ndarray, begin: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows of (item, diagonal, document), HITS or so at a time; a passage that many items share gives one for each of them."""
+        for mask, bits, keys, owner, start in self.tables:
+            h, ok = hashes(flat, mask)
+            ok &= bits[h >> np.uint64(64 - BITS)]
             at = np.flatnonzero(ok)
-            order = at[np.argsort(h[at], kind="stable")]
-            bits = np.zeros(1 << BITS, dtype=bool)
-            bits[h[order] >> np.uint64(64 - BITS)] = True
-            self.tables.append((bits, h[order], owner[order], start[order]))
+            lo, hi = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
+            some = hi > lo
+            at, lo, n = at[some], lo[some], (hi - lo)[some]
+            ends = np.cumsum(n)
+            cut = [0, *(np.searchsorted(ends, np.arange(HITS, int(ends[-1]), HITS)) + 1).tolist(), len(at)] if len(at) else []
+            for a, b in zip(cut, cut[1:], strict=False):
+                if a < b:
+                    m, first = n[a:b], lo[a:b]
+                    src = np.repeat(first, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                    pos = np.repeat(at[a:b], m)
+                    yield np.unique(np.stack([owner[src], pos - start[src], np.searchsorted(begin, pos, "right") - 1], 1), axis=0)
 
     def find(self, docs: list[list[str]]) -> list[tuple[int, int, int, int, int]]:
         """(document, item, first word of the best window, words of it, equal ones), one per document and item."""
         if not self.items:
             return []
-        get, gap = self.vocab.get, max(map(len, MASKS))
+        get = self.vocab.get
         ids = [np.array([get(w, 0) for w in d], dtype=np.uint64) for d in docs]
-        begin = np.cumsum([0] + [len(d) + gap for d in ids])
-        flat = np.zeros(int(begin[-1]) + gap, dtype=np.uint64)
+        begin = np.cumsum([0] + [len(d) + self.gap for d in ids])
+        flat = np.zeros(int(begin[-1]) + self.gap, dtype=np.uint64)
         for b, d in zip(begin, ids, strict=False):
             flat[b : b + len(d)] = d
-        found = set()
-        for m, (bits, keys, owner, start) in zip(MASKS, self.tables, strict=True):
-            h, ok = hashes(flat, m)
-            ok &= bits[h >> np.uint64(64 - BITS)]
-            at = np.flatnonzero(ok)
-            lo, hi = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
-            n = hi - lo
-            some = n > 0
-            at, lo, n = at[some], lo[some], n[some]
-            if len(at):
-                src = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                pos = np.repeat(at, n)
-                found.update(zip(owner[src].tolist(), (pos - start[src]).tolist(), (np.searchsorted(begin, pos, "right") - 1).tolist(), strict=True))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for k, diagonal, d in found:
-            t = self.texts[k]
-            lo, hi = max(0, int(begin[d]) - diagonal), min(len(t), int(begin[d]) + len(ids[d]) - diagonal)
-            size = min(len(t), WINDOW)
-            if hi - lo < size:
-                continue
-            same = np.concatenate([[0], np.cumsum(flat[diagonal + lo : diagonal + hi] == t[lo:hi])])
-            runs = same[size:] - same[:-size]
-            j = int(runs.argmax())
-            if 5 * runs[j] >= 4 * size:
-                now = (int(same[-1]), -int(diagonal + lo + j - begin[d]), int(runs[j]))
-                best[d, k] = max(best.get((d, k), now), now)
+        done: set[tuple[int, int, int]] = set()
+        for rows in self.hits(flat, begin):
+            for k, diagonal, d in map(tuple, rows.tolist()):
+                if (k, diagonal, d) in done:
+                    continue
+                done.add((k, diagonal, d))
+                t = self.texts[k]
+                lo, hi = max(0, int(begin[d]) - diagonal), min(len(t), int(begin[d]) + len(ids[d]) - diagonal)
+                equal = np.zeros(len(t), dtype=np.int64)
+                equal[lo:hi] = flat[diagonal + lo : diagonal + hi] == t[lo:hi]
+                size = min(len(t), WINDOW)
+                same = np.concatenate([[0], np.cumsum(equal)])
+                runs = same[size:] - same[:-size]
+                j = int(runs.argmax())
+                if 5 * runs[j] >= 4 * size:
+                    now = (int(same[-1]), -max(0, int(diagonal + j - begin[d])), int(runs[j]))
+                    best[d, k] = max(best.get((d, k), now), now)
         return [(d, k, -s, min(len(self.texts[k]), WINDOW), r) for (d, k), (_, s, r) in sorted(best.items())]
 
 
 def hashes(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """Of each place: the hash of the words that the mask looks at, and whether all of them are known."""
-    n = len(ids) - len(mask) + 1
+    n = max(len(ids) - len(mask) + 1, 0)
     h, ok = np.zeros(n, dtype=np.uint64), np.ones(n, dtype=bool)
     known = ids != 0
     for i, c in enumerate(mask):

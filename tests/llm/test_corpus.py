@@ -450,6 +450,46 @@ def test_contamination(spark):
     assert {r.doc_id for r in decontamination.clean(df, bench).collect()} == {i for i, _ in docs} - {i for i, _ in holds}
 
 
+def test_masks_hit_every_choice_of_replaced_words():
+    from itertools import combinations
+
+    for size in range(decontamination.LEAST_WORDS, decontamination.WINDOW + 1):
+        masks = decontamination.MASKS if size == decontamination.WINDOW else decontamination.SHORT_MASKS
+        for n in range(size // 5 + 1):
+            for gone in combinations(range(size), n):
+                assert any(all(c == "0" or s + i not in gone for i, c in enumerate(m)) for m in masks for s in range(size - len(m) + 1)), (size, gone)
+
+
+@pytest.mark.parametrize("hits", [decontamination.HITS, 7])
+def test_overlaps_equal_all_windows(spark, monkeypatch, hits):
+    """Few different words, so chance overlaps at every length and at both ends of documents; items share a passage."""
+    monkeypatch.setattr(decontamination, "HITS", hits)
+    rnd = random.Random(10)
+    word = lambda: rnd.choice("abcdefghi")
+    common = [word() for _ in range(14)]
+    items = [[word() for _ in range(rnd.randrange(1, 20))] for _ in range(25)] + [common + [word() for _ in range(9)] for _ in range(8)]
+    docs = []
+    for i in range(60):
+        w = [word() for _ in range(rnd.randrange(30))]
+        if i % 3 == 0:
+            p = [x if rnd.random() > 0.15 else "z" for x in rnd.choice(items)]
+            w = [p[rnd.randrange(3) :] + w, w + p[: len(p) - rnd.randrange(3)], p, w + common][i // 3 % 4]
+        docs.append(w)
+    want = set()
+    for k, t in enumerate(items):
+        size = min(len(t), 13)
+        for d, w in enumerate(docs):
+            for at in range(-size, len(w)):  # the place of the window's first word
+                if len(t) >= 5 and any(5 * sum(0 <= at + i < len(w) and w[at + i] == t[j + i] for i in range(size)) >= 4 * size for j in range(len(t) - size + 1)):
+                    want.add((d, k))
+                    break
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], DOCS)
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.overlaps(df, bench).collect()} == want and len(want) > 60
+    none = bench.limit(0)
+    assert decontamination.overlaps(df, none).count() == 0 and decontamination.clean(df, none).count() == len(docs)
+
+
 def test_blocks_of_the_benchmark(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_WORDS", 10)
     bench = spark.createDataFrame([(k, f"alpha{k} beta{k} gamma{k} delta{k} epsilon{k} zeta{k}") for k in range(12)], "item_id long, text string")
