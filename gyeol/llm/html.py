@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -38,6 +39,8 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 #: Elements that an opening block ends where they are open inside the nearest container.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"article", "main", "body", "html", "div", "section", "ul", "ol", "dl", "table", "blockquote", "td", "th", "aside", "nav", "header", "footer", "form", "figure"}
+#: Closing tags of these elements do not reach out of an article or main element.
+WALLS, WALLED = {"article", "main"}, INLINE | {"p", "li", "div"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 BAD_WORDS = set(
     """ad ads adv advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs byline-share comment comments commentlist
@@ -45,7 +48,10 @@ BAD_WORDS = set(
     overlay pager pagination paywall popup popups promo promoted promotion recommended related replies respond search share sharing sidebar sidebars signup skip
     skip-link social sponsor sponsored subscribe subscription taboola tagcloud toolbar topbar tracking widget widgets""".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPENING = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag; nothing of it is tried twice.
+REST = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
+RAW_END = {t: re.compile(rf"</{t}\b", re.I) for t in RAW}
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PART = re.compile(r"[a-z0-9]+")
 
@@ -67,82 +73,146 @@ def name_is_comment(attrs: str) -> bool:
     return any(w in ("comment", "comments", "reply") for m in ATTR.finditer(attrs or "") for w in PART.findall((m[2] or m[3] or m[4] or "").lower()))
 
 
-def parse(html: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int]]]:
+def tags(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of each tag; text between them and comments are left out, the latter as tags without a name. Every character is looked at
+    a bounded number of times: where a quotation mark has no other, tags end at the next > from then on."""
+    at, n, strict = 0, len(html), True
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+            yield at, end, False, "", ""
+            at = end
+            continue
+        m = OPENING.match(html, at)
+        if m is None and not html.startswith(("<!", "<?"), at):
+            at += 1
+            continue
+        rest = REST.match(html, m.end()) if m and strict else None
+        if rest is None:
+            strict = strict and m is None
+            end = html.find(">", m.end() if m else at + 2) + 1
+            if not end:
+                return
+        else:
+            end = rest.end()
+        if m is None:
+            yield at, end, False, "", ""
+        else:
+            name = m[2].lower()
+            yield at, end, bool(m[1]), name, html[m.end() : end - 1]
+            if name in RAW and not m[1] and html[end - 2] != "/":
+                close = RAW_END[name].search(html, end)
+                over = html.find(">", close.end()) + 1 if close else 0
+                end = over or n
+                yield end, end, True, name, ""
+        at = end
+
+
+def parse(html: str, hashed: bool = True) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, int]]]:
     """(pieces, blocks). A piece is (place, rank, kind, text) outside dropped elements: rank 2 inside an article, 1 inside main, else 0; kind 1 begins a
-    block. A block is (start, end) of the source of a subtree that isn't dropped."""
+    block. A block is (start, end, hash) of a subtree that isn't dropped; its hash is made of its tag, its texts and its children's hashes."""
     pieces: list[tuple[int, int, int, str]] = []
-    blocks: list[tuple[int, int]] = []
-    stack: list[list] = []  # tag, start, dropped from here on, rank, end of its opening tag
-    at, n, dropped, rank = 0, len(html), False, 0
+    blocks: list[tuple[int, int, int]] = []
+    stack: list[list] = []  # tag, start, dropped from here on, rank, hash so far
+    dropped, rank = False, 0
+    # how many elements of a tag are open: in all, since the innermost article or main, and since the innermost element of SCOPE
+    total, walls, scopes = Counter(), [Counter()], [Counter()]
+
+    def push(tag: str, start: int, end: int) -> None:
+        stack.append([tag, start, dropped, rank, xxhash.xxh64(" ".join(html[start:end].split())) if hashed else None])
+        total[tag] += 1
+        walls[-1][tag] += 1
+        scopes[-1][tag] += 1
+        if tag in WALLS:
+            walls.append(Counter())
+        if tag in SCOPE:
+            scopes.append(Counter())
 
     def close(k: int, end: int) -> None:
         nonlocal dropped, rank
         while len(stack) > k:
-            tag, start, was_dropped, was_rank, _ = stack.pop()
-            if not dropped and tag not in INLINE and tag not in ("html", "body", "article", "main"):
-                blocks.append((start, end))
+            tag, start, was_dropped, was_rank, h = stack.pop()
+            if tag in WALLS:
+                walls.pop()
+            if tag in SCOPE:
+                scopes.pop()
+            total[tag] -= 1
+            walls[-1][tag] -= 1
+            scopes[-1][tag] -= 1
+            if hashed:
+                if not dropped and tag not in INLINE and tag not in ("html", "body", "article", "main"):
+                    key = h.intdigest()
+                    blocks.append((start, end, key - (1 << 64) if key >> 63 else key))
+                if stack:
+                    stack[-1][4].update(b"\0" + h.digest())
             dropped, rank = was_dropped, was_rank
 
     def text(a: int, b: int) -> None:
-        if b > a and not dropped:
+        if b <= a:
+            return
+        if not dropped:
             pieces.append((a, rank, 0, html[a:b]))
-
-    while at < n:
-        m = TOKEN.search(html, at)
-        if m is None:
-            break
-        text(at, m.start())
-        at = m.end()
-        if m[2] is None:
+        if hashed and stack:
+            stack[-1][4].update("\1" + " ".join(html[a:b].split()))
+
+    at, raw = 0, None
+    for start, end, closing, tag, attrs in tags(html):
+        if raw is not None:  # what lies between a raw element's tags is no text
+            if hashed and stack:
+                stack[-1][4].update(" ".join(html[raw:end].split()))
+            raw, at = None, end
+            continue
+        text(at, start)
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k, at)
-                    break
-                if stack[k][0] in ("article", "main") and tag in INLINE | {"p", "li", "div"} and tag != stack[k][0]:
-                    break
+        if closing:
+            if total[tag] and (tag not in WALLED or walls[-1][tag]):
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), end)
             if tag not in INLINE:
-                pieces.append((m.start(), rank, 1, ""))
+                pieces.append((start, rank, 1, ""))
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
-                pieces.append((m.start(), rank, 1, ""))
+                pieces.append((start, rank, 1, ""))
+            if hashed and stack:
+                stack[-1][4].update(" ".join(html[start:end].split()))
             continue
         if tag not in INLINE:
             over = ENDS.get(tag, {"p"} if tag not in ("body", "html", "head") else set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in over:
-                    close(k, m.start())
-                    break
-                if stack[k][0] in SCOPE and not (tag == "tr" and stack[k][0] in ("td", "th")):
-                    break
-            if tag in ("body", "article", "main") and any(x[0] == "head" for x in stack):
-                close(next(i for i, x in enumerate(stack) if x[0] == "head"), m.start())
-            pieces.append((m.start(), rank, 1, ""))
-        if m[3].endswith("/"):
+            if any(scopes[-1][t] or (tag == "tr" and total[t]) for t in over):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] in over:
+                        close(k, start)
+                        break
+                    if stack[k][0] in SCOPE and not (tag == "tr" and stack[k][0] in ("td", "th")):
+                        break
+            if tag in ("body", "article", "main") and total["head"]:
+                close(next(i for i, x in enumerate(stack) if x[0] == "head"), start)
+            pieces.append((start, rank, 1, ""))
+        if attrs.endswith("/"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else n
+            raw = start
             continue
-        stack.append([tag, m.start(), dropped, rank, at])
-        if tag == "article" and not name_is_comment(m[3]):
+        push(tag, start, end)
+        if tag == "article" and not name_is_comment(attrs):
             dropped, rank = False, 2
         elif tag == "main" and rank < 2:
             dropped, rank = False, 1
         elif not dropped:
-            dropped = unwanted(tag, m[3], rank == 2)
-    text(at, n)
-    close(0, n)
+            dropped = unwanted(tag, attrs, rank == 2)
+    if raw is None:
+        text(at, len(html))
+    close(0, len(html))
     return pieces, blocks
 
 
-def key(source: str) -> int:
-    """A subtree's hash: its source with white space folded, as a signed 64-bit number."""
-    h = xxhash.xxh64_intdigest(re.sub(r"\s+", " ", source))
-    return h - (1 << 64) if h >= 1 << 63 else h
+def page_key(html: str) -> int:
+    """A page's hash, signed 64 bits."""
+    h = xxhash.xxh64_intdigest(html)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def host_of(url: str | None) -> str:
@@ -151,15 +221,15 @@ def host_of(url: str | None) -> str:
 
 
 def template_candidates(html: str | None) -> set[int]:
-    return {key(html[a:b]) for a, b in parse(html)[1]} if html else set()
+    return {h for _, _, h in parse(html)[1]} if html else set()
 
 
 def extract(html: str | None, templates: set[int] | frozenset[int] = frozenset()) -> str:
     if not html:
         return ""
-    pieces, blocks = parse(html)
+    pieces, blocks = parse(html, bool(templates))
     gone: list[tuple[int, int]] = []  # apart from one another, in order
-    for a, b in sorted((x for x in blocks if key(html[x[0] : x[1]]) in templates), key=lambda x: (x[0], -x[1])) if templates else ():
+    for a, b in sorted(((a, b) for a, b, h in blocks if h in templates), key=lambda x: (x[0], -x[1])):
         if not gone or a >= gone[-1][1]:
             gone.append((a, b))
     starts = [a for a, _ in gone]
@@ -205,7 +275,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
         def list_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b["url"], pa.array([host_of(u) for u in b["url"].to_pylist()], pa.string()), of(b), pa.array([key(h or "") for h in b["html"].to_pylist()], pa.int64())], ["url", "host", "hs", "page"])
+                yield pa.RecordBatch.from_arrays([b["url"], pa.array([host_of(u) for u in b["url"].to_pylist()], pa.string()), of(b), pa.array([page_key(h or "") for h in b["html"].to_pylist()], pa.int64())], ["url", "host", "hs", "page"])
 
         rows = in_batches(pages.select("url", "html")).mapInArrow(list_all, "url string, host string, hs array<long>, page long").select("url", "host", "page", F.explode("hs").alias("h"))
         own = rows.join(templates, ["host", "h"]).groupBy("url", "page").agg(F.collect_set("h").alias("own"))

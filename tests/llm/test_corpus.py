@@ -307,6 +307,53 @@ def test_numbers_and_teasers_stay(spark):
     assert html.extract("<body><p>short</p><article>An article of many more words</article></body>") == "An article of many more words"
 
 
+def plainly(page):
+    """Main text by another way, for pages as the test tables have them: what lies in articles, without marked elements, as a run of regular expressions."""
+    from html import unescape
+
+    page = re.sub(r"(?is)<!--.*?-->|<(script|style|title)\b.*?</\1\s*>", "", page or "")
+    inner = " ".join(re.findall(r"(?is)<article\b[^>]*>(.*?)</article>", page))
+    inner = re.sub(r"(?is)<(nav|aside|footer|form|button)\b.*?</\1\s*>", " ", inner)
+    bad = "|".join(sorted(html.BAD_WORDS, key=len, reverse=True))
+    inner = re.sub(rf"(?is)<(div|section|ul|ol|p|span)\b[^>]*\b(?:class|id)=[\"'][^\"']*\b(?:{bad})\b[^\"']*[\"'][^>]*>.*?</\1\s*>", " ", inner)
+    inner = re.sub(r"(?i)</?(?:a|b|i|em|strong|span|code|small|u|sub|sup|abbr|mark)\b[^>]*>", "", inner)
+    return " ".join(unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+
+
+def test_main_text_equals_a_plainer_way(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: plainly(r.html) for r in pages.collect()}
+    assert {r.page_id: r.text for r in html.main_text(pages).collect()} == want
+
+
+def test_pages_odd_and_empty(spark):
+    cols = "page_id long, url string, html string, host string, h int, page string, text int"
+    rows = [(1, None, None), (None, "http://a/", ""), (2, "x", "no tags"), (2, "x", "no tags"), (3, "http://a/", "<p>" * 4), (4, "http://a/", "<p>t&amp;" + "</div>" * 3 + "<"), (5, "http://a/", "w " * 50_000)]
+    df = spark.createDataFrame([(*r, "h", 1, "p", 2) for r in rows], cols)
+    got = sorted((r.page_id or 0, r.n_chars) for r in html.main_text(df).collect())
+    assert got == [(0, 0), (1, 0), (2, 7), (2, 7), (3, 0), (4, 4), (5, 99_999)]
+    assert html.main_text(df.limit(0)).count() == 0 and html.main_text(df).columns == ["page_id", "url", "text", "n_chars"]
+
+
+def test_templates_without_telling_names(spark):
+    """A share box of a neutral class inside each article goes since it recurs, and stays where templates are not looked for."""
+    box = '<div class="zz"><p>Tell your friends of us, 24 hours.</p></div>'
+    page = lambda i: f"<html><body><article><p>Story {i} of many.</p>{box if i % 5 else ''}<p>Its end {i * 7}.</p></article></body></html>"
+    df = spark.createDataFrame([(i, f"https://h.example/{i}", page(i)) for i in range(40)] + [(99, "https://other.example/", page(1))], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(df).collect()}
+    assert all(got[i] == f"Story {i} of many. Its end {i * 7}." for i in range(40))
+    assert got[99] == "Story 1 of many. Tell your friends of us, 24 hours. Its end 7." == html.extract(page(1))
+
+
+@pytest.mark.parametrize("bad", ["<b>" * 20_000 + "</i>" * 20_000, "<a " * 60_000, '<a "x ' * 60_000, '<a href="x> ' * 60_000 + '">', "<div>" * 60_000, "<b>" * 9 + "<div></div>" * 60_000, "<script>" + "</script" * 60_000, "<b>" * 20_000 + "<article>" + "<i>" * 20_000 + "</b>" * 20_000])
+def test_bad_pages_take_time_in_proportion(bad):
+    import time
+
+    began = time.process_time()
+    html.extract(bad * 3, {1})
+    assert time.process_time() - began < 10
+
+
 # chat
 
 
