@@ -152,10 +152,10 @@ def joined(spans: str) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans."""
     df = detect(docs)
     counts = [F.expr(f"cast(size(filter(__base, x -> x.kind = '{k}')) AS long)").alias(f"n_{k}") for k in BASE]
-    return df.select("doc_id", *counts, F.sha2(joined("__base"), 256).alias("base_sha256"), joined("__all").alias("spans"))
+    return df.select("doc_id", *counts, F.sha2(joined("__base"), 256).alias("base_sha256"), joined("__all").alias("spans"), F.size("__all").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, model: dict[str, float] | None = None) -> DataFrame:

@@ -1,8 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are lower-cased words and their beginnings of four to eight letters, hashed into 2^24 buckets; that a bucket occurs once, twice or four
-times at least are three binary features of a text. The features that tell the two labels apart most (by the z score of their document
-frequencies) are the machine's inputs: a bias, linear weights, and K factors each, so that pairs of terms count beyond their sum.
+times at least are three binary features of a text. The machine's inputs are the features that tell the two labels apart most (by the z score of their document
+frequencies), and those that do so in pairs only, such as an insult and the mention of a group that are neutral by themselves: pairs of frequent terms are tried, and both
+terms of a pair that tells far more than either are inputs. There are a bias, linear weights, and FACTORS factors each, so that pairs of terms count beyond their sum.
 The machine is fitted on the driver, on a sample of labelled rows that is bounded by SAMPLE and the same on every run; scoring reads whole texts.
 
 Defined cases: a null or empty text has no terms and gets the bias; a doc_id of several labels counts as toxic if one says so; null labels are
@@ -23,12 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gyeol.llm.common import in_batches
+from gyeol.llm.common import durable, in_batches
 
 #: Labelled rows of each label that are used for fitting, at most; those of the smallest hash.
 SAMPLE = 5_000
 #: Inputs of the machine, at most, and their least z score.
 INPUTS, LEAST_Z = 512, 5.0
+#: Terms that are tried in pairs (the most frequent ones in at least PAIR_ROWS rows, but not in over half of them), and pairs whose terms become inputs, at most; by how much
+#: the z score of such a pair must exceed those of its terms.
+PAIR_TERMS, PAIR_ROWS, PAIRS, PAIR_Z = 1_024, 20, 128, 4.0
 FACTORS = 4
 THRESHOLD = 0.7
 BUCKETS = 1 << 24
@@ -58,11 +62,12 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> DataF
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda c: ids.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
     few = pick("toxic = 1").unionByName(pick("toxic <> 1"))
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # an id may have any number of rows
 
 
-def inputs(rows: DataFrame, n1: int, n0: int) -> list[int]:
-    """The features of the highest |z|, INPUTS at most; counted where the rows are."""
+def inputs(rows: DataFrame, n1: int, n0: int) -> tuple[list[int], list[int]]:
+    """The features of the highest |z|, INPUTS at most, and terms to be tried in pairs, PAIR_TERMS at most; counted where the rows are."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -75,11 +80,34 @@ def inputs(rows: DataFrame, n1: int, n0: int) -> list[int]:
     c = in_batches(rows).mapInPandas(count, "feature long, c1 long, c0 long").groupBy("feature").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
     p = (F.col("c1") + F.col("c0") + 0.5) / (n1 + n0 + 1)
     z = F.abs(F.col("c1") / n1 - F.col("c0") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    return [r.feature for r in c.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(INPUTS).collect()]
+    c = durable(c.where(F.col("c1") + F.col("c0") >= 3))
+    best = c.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(INPUTS)
+    n = F.col("c1") + F.col("c0")
+    pairs = c.where((F.col("feature") % len(LEVELS) == 0) & n.between(PAIR_ROWS, (n1 + n0) / 2)).orderBy(F.desc(n), "feature").limit(PAIR_TERMS)
+    return [r.feature for r in best.collect()], [r.feature for r in pairs.collect()]
+
+
+def telling_pairs(x: np.ndarray, y: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Columns of x (terms present) that are in a pair whose z score is PAIR_Z above those of both its terms; of the PAIRS best pairs."""
+    if x.shape[1] < 2:
+        return np.zeros(0, dtype=int)
+    a, b = x[y == 1], x[y == 0]
+    c1, c0 = (a.T @ a).astype(np.float64), (b.T @ b).astype(np.float64)
+    p = (c1 + c0 + 0.5) / (n1 + n0 + 1)
+    z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    own = np.diag(z)
+    gain = np.triu(z - np.maximum(own[:, None], own[None, :]), 1)
+    # terms that always stand together (a word and its own beginning) are one term
+    support = np.diag(c1 + c0)
+    gain[(c1 + c0) > 0.9 * np.minimum(support[:, None], support[None, :])] = 0
+    gain[z < LEAST_Z] = 0
+    best = np.argsort(-gain, axis=None, kind="stable")[:PAIRS]
+    best = best[gain.flat[best] >= PAIR_Z]
+    return np.unique(np.concatenate(np.unravel_index(best, gain.shape)))
 
 
 def training_rows(rows: DataFrame, index: dict[int, int]) -> pd.DataFrame:
-    """doc_id, toxic, the inputs present: at most INPUTS numbers a row of the sample."""
+    """doc_id, toxic, the features of index present: at most INPUTS + PAIR_TERMS numbers a row of the sample."""
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -118,17 +146,22 @@ class Machine:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE, rounds: int = 300) -> Machine | None:
-    few = sample(docs, labels, per_label)
+    few = durable(sample(docs, labels, per_label))
     n = {bool(r.toxic == 1): r["count"] for r in few.groupBy((F.col("toxic") == 1).alias("toxic")).count().collect()}
     n1, n0 = n.get(True, 0), n.get(False, 0)
     if not (n1 and n0):
         return None
-    best = inputs(few, n1, n0)
-    rows = training_rows(few, {b: i for i, b in enumerate(best)}).sort_values("doc_id", ignore_index=True, kind="stable")
+    best, tried = inputs(few, n1, n0)
+    every = list(dict.fromkeys(best + tried))
+    rows = training_rows(few, {b: i for i, b in enumerate(every)}).sort_values("doc_id", ignore_index=True, kind="stable")
     y = (rows["toxic"] == 1).to_numpy().astype(np.float64)
-    x = np.zeros((len(y), len(best)), dtype=np.float32)
+    x = np.zeros((len(y), len(every)), dtype=np.float32)
     for i, on in enumerate(rows["inputs"]):
         x[i, on] = 1
+    at = {f: i for i, f in enumerate(every)}
+    cols = np.array([at[f] for f in tried], dtype=int)
+    best = list(dict.fromkeys(best + [tried[i] for i in telling_pairs(x[:, cols], y, n1, n0).tolist()]))
+    x = np.ascontiguousarray(x[:, [at[f] for f in best]])
     rng = np.random.default_rng(8)
     th = [np.zeros(1), np.zeros(len(best)), rng.normal(0, 0.05, (len(best), FACTORS))]
     m, s = [np.zeros_like(t) for t in th], [np.zeros_like(t) for t in th]

@@ -450,6 +450,30 @@ def test_long_documents_in_pieces(monkeypatch):
 # toxicity
 
 
+def test_a_pair_of_terms_is_learned_that_are_neutral_alone(spark):
+    """An insult and a group stand as often in either label's texts; only together they are toxic, as other texts are by a slur of their own."""
+    rnd = random.Random(18)
+    filler = [f"word{k}" for k in range(300)]
+
+    def row(i):
+        w = rnd.choices(filler, k=30)
+        kind = i % 10
+        toxic = kind < 5
+        w += {0: ["zonker", "blorps"], 1: ["slurry"], 2: ["slurry"], 3: ["slurry"], 4: ["slurry"], 5: ["zonker"], 6: ["blorps"]}.get(kind, [])
+        rnd.shuffle(w)
+        return i, " ".join(w), toxic, kind
+
+    data = [row(i) for i in range(3000)]
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in data], DOCS)
+    labels = spark.createDataFrame([(i, 0, int(x)) for i, _, x, _ in data], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.report(docs, labels).collect()}
+    right = {k: [(got[i].predicted == 1) == x for i, _, x, kind in data if kind == k and got[i].held_out] for k in range(10)}
+    assert all(np.mean(right[k]) > 0.95 for k in right), {k: np.mean(v) for k, v in right.items()}
+    machine = toxicity.fit(docs, labels)
+    alone = toxicity.Machine(machine.index, machine.bias, machine.w, machine.v * 0)
+    assert machine.score("zonker blorps") > 0.7 > max(machine.score("zonker"), machine.score("blorps"), alone.score("zonker blorps"))
+
+
 def test_toxicity_on_held_out_rows(spark):
     rnd = random.Random(8)
     rows, labels = [], []
