@@ -21,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of df in the cluster's shared checkpoint folder; a lost executor costs no recomputation.
 
-    The folder comes from the session (spark.checkpoint.dir). Only where none is set, as in tests, a temporary one is used.
+    The folder comes from the session (spark.checkpoint.dir). Only where none is set in local mode, as in tests, a temporary one is used: on a cluster executors would not share it.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a folder that driver and executors share is needed")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
