@@ -1,7 +1,7 @@
 """Queries over the test tables, one per operator of the search engine, and the SQL that gives the same rows.
 
-Korean operators run on an inline corpus: each document stands for one of a few fixed sentences, by its id; the SQL knows the expected surfaces by
-enumeration, not through this engine's grammar.
+Korean operators search whole documents, to each of which a sentence is added as its last line, by the document's id (the tables hold no Hangul of their own);
+the SQL knows the expected surfaces by enumeration, not through this engine's grammar.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gyeol.functions import sql as functions
 from gyeol.functions.structure import Components
 from gyeol.operators import explain, lexicons, search, sinks
-from gyeol.plans import grammar
+from gyeol.plans import grammar, tables
 from gyeol.plans.compiler import compile_query
 from gyeol.plans.lexer import Options
 
@@ -42,23 +42,23 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
 
 
-def korean(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id and its sentence; a native lookup, no join."""
-    ids = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
-    return ids.select("doc_id", F.element_at(F.array(*[F.lit(s) for s in SENTENCES]), (F.col("doc_id") % N + 1).cast("int")).alias("text"))
+def korean(spark: SparkSession, d: str, alone: bool = False, sentences: list[str] = SENTENCES) -> DataFrame:
+    """doc_id and text: each document and, as its last line, its sentence (alone: the sentence only); a native lookup, no join."""
+    line = F.element_at(F.array(*[F.lit(s) for s in sentences]), (F.col("doc_id") % len(sentences) + 1).cast("int"))
+    return docs(spark, d).select("doc_id", line.alias("text") if alone else F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), line).alias("text"))
 
 
 def spans(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "line_number", "match_index", "start", "end", "surface")
 
 
-KO = "ko AS (SELECT doc_id, ([" + ", ".join(f"'{s}'" for s in SENTENCES) + f"])[doc_id % {N} + 1] AS text FROM documents)"
+KO = "ko AS (SELECT doc_id, ([" + ", ".join(f"'{s}'" for s in SENTENCES) + f"])[doc_id % {N} + 1] AS line, concat(coalesce(text, ''), chr(10), line) AS text FROM documents)"
 LINES = """lines AS (SELECT doc_id, k AS line_number, l[k] AS line, CAST(coalesce(list_sum([octet_length(encode(x)) + 1 for x in l[1:k - 1]]), 0) AS BIGINT) AS byte_offset
   FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)) WHERE NOT (k = len(l) AND l[k] = ''))"""
 TOKENS = r"[\p{L}\p{N}\p{M}_]"
 
 
-def ko_spans(*rows: tuple[int, str]) -> str:
+def ko_spans(*rows: tuple[int, str], alone: bool = False) -> str:
     """SQL for expected matches: (sentence, surface) in order; places by position in the sentence, of the first place after the one before."""
     out, seen = [], {}
     for k, s in rows:
@@ -66,7 +66,8 @@ def ko_spans(*rows: tuple[int, str]) -> str:
         n = seen[k][0] + 1 if k in seen else 0
         seen[k] = (n, at + len(s))
         out.append(f"({k}, {n}, {len(SENTENCES[k][:at].encode())}, {len(SENTENCES[k][: at + len(s)].encode())}, '{s}')")
-    return f"""SELECT d.doc_id, CAST(1 AS BIGINT) AS line_number, CAST(v.n AS INTEGER) AS match_index, CAST(v.a AS BIGINT) AS start, CAST(v.b AS BIGINT) AS "end", v.s AS surface
+    line = "1" if alone else "len(string_split(coalesce(d.text, ''), chr(10))) + 1"
+    return f"""SELECT d.doc_id, CAST({line} AS BIGINT) AS line_number, CAST(v.n AS INTEGER) AS match_index, CAST(v.a AS BIGINT) AS start, CAST(v.b AS BIGINT) AS "end", v.s AS surface
 FROM documents d JOIN (VALUES {", ".join(out)}) v(k, n, a, b, s) ON d.doc_id % {N} = v.k"""
 
 
@@ -262,9 +263,9 @@ def ko_disjunction(spark: SparkSession, d: str) -> DataFrame:
     return spans(search.find_all(korean(spark, d), "v:걷다 | 사용자", TOKEN))
 
 
-@query("ko_bar_literal", ko_spans((11, "|")))
+@query("ko_bar_literal", ko_spans((11, "|"), alone=True))
 def ko_bar_literal(spark: SparkSession, d: str) -> DataFrame:
-    return spans(search.find_all(korean(spark, d), '"|"', ANY))
+    return spans(search.find_all(korean(spark, d, alone=True), '"|"', ANY))
 
 
 @query("ko_particle_host", ko_spans((0, "을"), (1, "을"), (1, "를"), (2, "을"), (3, "을"), (6, "을"), (7, "를"), (7, "을"), (11, "을")))
@@ -289,8 +290,7 @@ def nfd_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Decomposed text, found through canonical anchors."""
     import unicodedata
 
-    ids = korean(spark, d).select("doc_id")
-    src = ids.select("doc_id", F.element_at(F.array(*[F.lit(unicodedata.normalize("NFD", s)) for s in SENTENCES]), (F.col("doc_id") % N + 1).cast("int")).alias("text"))
+    src = korean(spark, d, sentences=[unicodedata.normalize("NFD", s) for s in SENTENCES])
     return search.find_all(src, "n:길", Options(boundary="token", normalization="canonical")).groupBy("doc_id").agg(F.count("*").alias("matches"))
 
 
@@ -330,6 +330,29 @@ def plan_programs(spark: SparkSession, d: str) -> DataFrame:
     return explain.programs(spark, compile_query("v:걷다 n:길", ANY))
 
 
+CASES = [r | {"text": r["text"].replace("\\n", "\n")} for r in tables.load("cases")]
+
+
+def case_sql() -> str:
+    """The expected matches: places by position of the surface in the sentence, after the document before it."""
+    quoted = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    rows = []
+    for k, r in enumerate(CASES):
+        at = len(r["text"][: r["text"].index(r["surface"])].encode()) if r["surface"] else None
+        rows.append(f"({k}, '{r['feature']}', " + (f"{at}, {at + len(r['surface'].encode())}, {quoted(r['surface'])})" if r["surface"] else "NULL, NULL, NULL)"))
+    return f"""SELECT doc_id, feature, CAST(coalesce(octet_length(encode(coalesce(text, ''))) + 1 + a, -1) AS BIGINT) AS start, CAST(coalesce(octet_length(encode(coalesce(text, ''))) + 1 + b, -1) AS BIGINT) AS "end", coalesce(s, '') AS surface
+FROM documents JOIN (VALUES {", ".join(rows)}) v(k, feature, a, b, s) ON doc_id % {len(CASES)} = k"""
+
+
+@query("ko_cases", case_sql())
+def ko_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled sentences, each with its own query, at the ends of whole documents."""
+    row = F.element_at(F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("feature", "query", "expand", "boundary")]) for r in CASES]), (F.col("doc_id") % len(CASES) + 1).cast("int"))
+    src = korean(spark, d, sentences=[r["text"] for r in CASES]).select("doc_id", row.alias("c"), "text").select("doc_id", "c.*", "text")
+    got = search.first_by_row(src)
+    return got.select("doc_id", "feature", F.coalesce("start", F.lit(-1).cast("long")).alias("start"), F.coalesce("end", F.lit(-1).cast("long")).alias("end"), F.coalesce("surface", F.lit("")).alias("surface"))
+
+
 POS_VALUES = ", ".join(f"('{r['lemma']}', '{r['pos']}')" for name in ("predicates", "nominals", "modifiers") for r in grammar.TABLES[name])
 
 

@@ -23,6 +23,8 @@ from gyeol.plans.lexicon import Lexicon
 
 #: Anchors up to which substring tests are used; more become one alternation.
 CONTAINS = 48
+#: Compiled queries that a task of first_by_row() keeps.
+PLANS = 1_000
 #: A character of a token, as Java's regular expressions put it.
 TOKEN = r"[\p{IsAlphabetic}\p{Nd}\p{Nl}\p{No}\p{M}_]"
 ORIGIN = "array<struct<analysis:int,lemma:string,pos:string,rules:array<string>>>"
@@ -162,6 +164,30 @@ def literal_spans(df: DataFrame, literal: str, text: str = "text", keep: list[st
     return src.select(*names, (F.col("k") - 1).alias("match_index"), start.cast("long").alias("start"), (start + len(literal.encode())).cast("long").alias("end"), (F.char_length(prefix) + 1).cast("long").alias("column"))
 
 
+def first_by_row(df: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
+    """The columns of df and the first match of each row's own query in its own text: start, end (bytes), surface; null without one.
+
+    df has query, expand, boundary and text. A query is compiled once a task, so rows of few different queries are cheap; labelled cases are measured this way."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans: dict[tuple[str, str, str], Matcher] = {}
+        for b in batches:
+            out = []
+            for q, e, k, t in zip(b["query"].to_pylist(), b["expand"].to_pylist(), b["boundary"].to_pylist(), decoded(b["text"]), strict=True):
+                if (q, e, k) not in plans:
+                    if len(plans) >= PLANS:
+                        plans.clear()
+                    plans[q, e, k] = Matcher(compile_query(q, Options(expand=e, boundary=k), lexicon))
+                m = plans[q, e, k]
+                got = m.find_at(t, 0) if t else None
+                off = byte_offsets(t, [got[0].start, got[-1].end]) if got else {}
+                out.append((off[got[0].start], off[got[-1].end], shown(t[got[0].start : got[-1].end])) if got else (None, None, None))
+            cols = [pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "start", "end", "surface"])
+
+    return df.mapInArrow(rows, f"{schema_of(df)}, start bigint, end bigint, surface string")
+
+
 # summaries
 
 
