@@ -18,6 +18,8 @@ from gyeol.plans.predicates import continued
 
 REACH = 256
 MATCHES = 65_536
+#: Anchors of an atom that are looked for one by one; of more, their first characters are.
+ANCHORS = 2_000
 
 
 class ComponentResourceRequired(ValueError):
@@ -48,12 +50,17 @@ class Matcher:
         self.plan, self.components = plan, components
         self.by_atom: list[dict[str, list[tuple[str, Program]]]] = []
         self.starts: list[re.Pattern] = []
+        self.single: list[str | None] = []  # the anchor of an atom that has one only
         for a in plan.atoms:
             first: dict[str, list[tuple[str, Program]]] = {}
             for p in a.programs:
                 first.setdefault(p.anchor[0], []).append((p.anchor, p))
             self.by_atom.append(first)
-            self.starts.append(re.compile("[" + "".join(map(re.escape, first)) + "]"))
+            anchors = sorted({p.anchor for p in a.programs}, key=lambda x: (len(x), x))
+            # an anchor that begins with another adds no place
+            least = [x for k, x in enumerate(anchors) if not any(x.startswith(y) for y in anchors[:k])] if len(anchors) <= ANCHORS else sorted(first)
+            self.single.append(least[0] if len(least) == 1 else None)
+            self.starts.append(re.compile("|".join(map(re.escape, least))))
 
     # one program at one place
 
@@ -136,6 +143,18 @@ class Matcher:
 
     # spans of one atom
 
+    def places(self, text: str, atom: int = 0, at: int = 0):  # noqa: ANN201
+        """Where an anchor of an atom begins, from at on."""
+        if (one := self.single[atom]) is not None:
+            while (at := text.find(one, at)) >= 0:
+                yield at
+                at += 1
+            return
+        search = self.starts[atom].search
+        while m := search(text, at):
+            yield m.start()
+            at = m.start() + 1
+
     def at(self, text: str, i: int, atom: int) -> list[Span]:
         """The accepted spans that start at i; equal ones with their origins together."""
         found: dict[tuple, Span] = {}
@@ -147,7 +166,7 @@ class Matcher:
 
     def all_spans(self, text: str, atom: int = 0) -> list[Span]:
         """Every accepted span, overlapping ones too."""
-        return [s for m in self.starts[atom].finditer(text) for s in self.at(text, m.start(), atom)]
+        return [s for i in self.places(text, atom) for s in self.at(text, i, atom)]
 
     def find_all(self, text: str, limit: int = MATCHES) -> list[list[Span]]:
         """Non-overlapping matches, leftmost first, of those the longest; a match is a span per atom."""
@@ -160,14 +179,11 @@ class Matcher:
         return out
 
     def singles(self, text: str):  # noqa: ANN201
-        at, starts = 0, self.starts[0]
-        while m := starts.search(text, at):
-            got = self.at(text, m.start(), 0)
-            if got:
+        at = 0
+        for i in self.places(text):
+            if i >= at and (got := self.at(text, i, 0)):
                 yield [got[0]]
-                at = max(got[0].end, m.start() + 1)
-            else:
-                at = m.start() + 1
+                at = max(got[0].end, i + 1)
 
     def phrases(self, text: str):  # noqa: ANN201
         """Ordered atoms with at most max_gap characters and no line break between; prefixes hidden by an earlier match come back after it."""
@@ -212,8 +228,8 @@ class Matcher:
         if len(self.plan.atoms) > 1:
             sub = Matcher.phrases(self, text) if at == 0 else (m for m in self.phrases(text) if m[0].start >= at)
             return next(iter(sub), None)
-        for m in self.starts[0].finditer(text, at):
-            if got := self.at(text, m.start(), 0):
+        for i in self.places(text, 0, at):
+            if got := self.at(text, i, 0):
                 return [got[0]]
         return None
 
@@ -221,10 +237,10 @@ class Matcher:
         """Anchor hits and how many programs passed, for one text."""
         hits = passed = 0
         for atom, first in enumerate(self.by_atom):
-            for m in self.starts[atom].finditer(text):
-                here = [p for anchor, p in first.get(m.group(), ()) if text.startswith(anchor, m.start())]
+            for i in self.places(text, atom):
+                here = [p for anchor, p in first.get(text[i], ()) if text.startswith(anchor, i)]
                 hits += len({p.anchor for p in here})
-                passed += sum(self.run(text, m.start(), p) is not None for p in here)
+                passed += sum(self.run(text, i, p) is not None for p in here)
         return {"raw_anchor_hits": hits, "verified_program_hits": passed}
 
 

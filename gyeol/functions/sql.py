@@ -28,6 +28,8 @@ def spans(query: str, options: Options | None = None, components: Components | N
         def one(t: str | None) -> list[dict] | None:
             if t is None:
                 return None
+            if not all(any(a in t for a in anchors) for anchors in plan.anchors):
+                return []
             got = m.find_all(t)
             off = byte_offsets(t, [x for s in got for x in (s[0].start, s[-1].end)])
             return [{"start": off[s[0].start], "end": off[s[-1].end]} for s in got]

@@ -53,18 +53,15 @@ def candidate(c: Column, plan: Plan) -> Column:
     return out
 
 
-def split_lines(text: Column) -> Column:
-    """The lines of a text. Splitting would turn bytes that are no UTF-8 into others; texts with such bytes are split as bytes."""
-    raw = F.transform(F.split(F.decode(text.cast("binary"), "ISO-8859-1"), "\n", -1), lambda x: F.encode(x, "ISO-8859-1").cast("string"))
-    return F.when(F.is_valid_utf8(text), F.split(text, "\n", -1)).otherwise(raw)
-
-
 def lines(df: DataFrame, text: str = "text", keep: list[str] | None = None, where: Column | None = None) -> DataFrame:
     """The kept columns, line_number (from 1), byte_offset and line. A line end at the end of a text begins no line. where: which whole texts are split at all."""
     keep = [c for c in df.columns if c != text] if keep is None else keep
     src = df.where(F.col(text).isNotNull())
     src = src if where is None else src.where(where)
-    src = src.select(*keep, F.col(text).alias("__text"), F.posexplode(split_lines(F.col(text))).alias("__n", "line"))
+    # splitting would turn bytes that are no UTF-8 into others: a text with such bytes is split as one of single bytes, and its lines become what they were
+    src = src.select(*keep, F.col(text).alias("__text"), F.is_valid_utf8(text).alias("__ok"))
+    src = src.select(*keep, "__text", "__ok", F.posexplode(F.split(F.when(F.col("__ok"), F.col("__text")).otherwise(F.decode(F.col("__text").cast("binary"), "ISO-8859-1")), "\n", -1)).alias("__n", "__l"))
+    src = src.withColumn("line", F.when(F.col("__ok"), F.col("__l")).otherwise(F.encode("__l", "ISO-8859-1").cast("string")))
     src = src.where((F.col("line") != "") | (F.col("__n") < F.expr(r"octet_length(__text) - octet_length(replace(__text, '\n', ''))")))
     before = F.when(F.col("__n") == 0, F.lit(0)).otherwise(F.expr(r"octet_length(substring_index(__text, '\n', __n)) + 1"))
     return src.select(*keep, (F.col("__n") + 1).cast("long").alias("line_number"), before.cast("long").alias("byte_offset"), "line")
