@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gyeol.functions.lattice import BEST, Lattice
 from gyeol.plans import grammar, lexicon
 
+COVERS = "array<struct<cost:bigint,nodes:array<struct<start:int,end:int,surface:string,pos:string,known:boolean>>>>"
+
 
 def encode_pos(rows: DataFrame, path: str) -> None:
     """Write (lemma, pos) once each, in order; empty and null lemmas are no entries."""
@@ -39,3 +45,22 @@ def data_report(spark: SparkSession, given: dict[str, str] | None = None) -> Dat
     """One row: how many rows each table has, and what is wrong with them."""
     row = lexicon.check_data(given)
     return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'string' if k == 'problems' else 'long'}" for k in row))
+
+
+def covers(df: DataFrame, lattice: Lattice, best: int = BEST, text: str = "text") -> DataFrame:
+    """The columns of df and covers: the cheapest covers of each text by the words of a lattice, cheapest first; none for null, empty and uncoverable texts.
+
+    A text is covered as a whole, so it should be a token or a sentence; the lattice goes along with the tasks once."""
+    shared = df.sparkSession.sparkContext.broadcast(lattice)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b[text].to_pylist():
+                found = shared.value.covers(t, best) if t else []
+                out.append([{"cost": c.cost, "nodes": [{"start": n.start, "end": n.end, "surface": t[n.start : n.end], "pos": n.pos, "known": n.known} for n in c.nodes]} for c in found])
+            node = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string()), ("pos", pa.string()), ("known", pa.bool_())])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.struct([("cost", pa.int64()), ("nodes", pa.list_(node))])))], [*b.schema.names, "covers"])
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(rows, f"{names}, covers {COVERS}")

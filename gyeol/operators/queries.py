@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gyeol.functions import sql as functions
+from gyeol.functions.lattice import Lattice, Word
 from gyeol.functions.structure import Components
 from gyeol.operators import explain, lexicons, search, sinks
 from gyeol.plans import grammar, tables
@@ -353,6 +354,27 @@ def ko_cases(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", "feature", F.coalesce("start", F.lit(-1).cast("long")).alias("start"), F.coalesce("end", F.lit(-1).cast("long")).alias("end"), F.coalesce("surface", F.lit("")).alias("surface"))
 
 
+#: Tokens that a small dictionary covers in several ways, its words (context and cost by their number), and what it costs to stand next to one another.
+TOKENS_ = ["매일매일", "사용자들에게는", "권한도", "길로", "학교에", "학생이다", "매일이다", "없는말"]
+WORDS_ = [(surface, pos, k % 5 + 1, 10 * len(surface) + k) for k, (surface, parts) in enumerate((s, x) for s, p in PARTS.table.items() for x in p) for pos in parts]
+
+
+@query("lattice_covers", f"""WITH RECURSIVE w AS (SELECT * FROM (VALUES {", ".join(f"('{s}', '{p}', {c}, {n})" for s, p, c, n in WORDS_)}) v(s, pos, c, cost)),
+t AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{x}')" for k, x in enumerate(TOKENS_))}) v(k, t)),
+r AS (SELECT k, t, 0 AS p, 0 AS c, CAST(0 AS BIGINT) AS cost FROM t UNION ALL
+  SELECT r.k, r.t, r.p + length(w.s), w.c, r.cost + w.cost + (r.c * 7 + w.c * 13) % 50 FROM r JOIN w ON r.p < length(r.t) AND substr(r.t, r.p + 1, length(w.s)) = w.s AND r.c <> w.c),
+e AS (SELECT k, cost + (c * 7) % 50 AS cost FROM r WHERE p = length(t)),
+b AS (SELECT k, array_to_string(list(cost ORDER BY cost)[1:4], ',') AS costs FROM e GROUP BY k)
+SELECT doc_id, t.t AS token, coalesce(b.costs, '') AS costs FROM documents JOIN t ON doc_id % {len(TOKENS_)} = t.k LEFT JOIN b ON b.k = t.k""")
+def lattice_covers(spark: SparkSession, d: str) -> DataFrame:
+    """The costs of the four cheapest covers of tokens by the words of a small dictionary."""
+    costs = {(a, b): (a * 7 + b * 13) % 50 for a in range(6) for b in range(6) if a != b}
+    small = Lattice([Word(s, c, c, n, p) for s, p, c, n in WORDS_], costs)
+    src = korean(spark, d, alone=True, sentences=TOKENS_).withColumnRenamed("text", "token")
+    got = lexicons.covers(src, small, text="token")
+    return got.select("doc_id", "token", F.array_join(F.transform("covers", lambda c: c["cost"].cast("string")), ",").alias("costs"))
+
+
 POS_VALUES = ", ".join(f"('{r['lemma']}', '{r['pos']}')" for name in ("predicates", "nominals", "modifiers") for r in grammar.TABLES[name])
 
 

@@ -216,6 +216,11 @@ def summary(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return df.agg(F.count("*").alias("searched_files")).crossJoin(got).withColumn("has_match", F.col("matching_lines") > 0)  # one row each
 
 
+def around(both: int | None = None, before: int | None = None, after: int | None = None) -> tuple[int, int]:
+    """(lines before, lines after) from a number for both sides and one for either, which comes first."""
+    return tuple(next((x for x in (own, both) if x is not None), 0) for own in (before, after))
+
+
 def context(df: DataFrame, found: DataFrame, key: str, before: int = 0, after: int = 0, text: str = "text") -> DataFrame:
     """The matching lines and their neighbours: key, line_number, kind (match or context), line, break_before (a gap lies before the line).
 

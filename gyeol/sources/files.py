@@ -5,14 +5,26 @@ Listing goes through Spark's own file source, so any store it reads will do; rul
 
 from __future__ import annotations
 
+import os
 import re
+import sys
 from collections.abc import Iterator
+from pathlib import Path
+from typing import IO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TYPES = {"md": ["*.md", "*.markdown"], "txt": ["*.txt"], "py": ["*.py"], "rust": ["*.rs"], "js": ["*.js", "*.mjs"], "html": ["*.html", "*.htm"], "json": ["*.json", "*.jsonl"], "csv": ["*.csv", "*.tsv"], "toml": ["*.toml"], "yaml": ["*.yaml", "*.yml"]}
+#: Kinds of files by name, as a caller may choose them; more come by definition.
+TYPES = {
+    "asciidoc": ["*.adoc", "*.asciidoc"], "avro": ["*.avdl", "*.avpr", "*.avsc"], "c": ["*.c", "*.h"], "cmake": ["*.cmake", "CMakeLists.txt"], "config": ["*.cfg", "*.conf", "*.config", "*.ini"],
+    "cpp": ["*.cc", "*.cpp", "*.cxx", "*.hh", "*.hpp", "*.hxx"], "cs": ["*.cs"], "css": ["*.css", "*.scss"], "csv": ["*.csv", "*.tsv"], "docker": ["Dockerfile", "Dockerfile.*"], "go": ["*.go"],
+    "html": ["*.htm", "*.html"], "java": ["*.java"], "js": ["*.cjs", "*.js", "*.jsx", "*.mjs"], "json": ["*.json", "*.jsonl"], "kotlin": ["*.kt", "*.kts"], "log": ["*.log"], "lua": ["*.lua"],
+    "make": ["GNUmakefile", "Makefile", "makefile", "*.mk"], "md": ["*.markdown", "*.md", "*.mdx"], "org": ["*.org"], "perl": ["*.pl", "*.pm"], "php": ["*.php"], "protobuf": ["*.proto"],
+    "py": ["*.py", "*.pyi"], "r": ["*.R", "*.Rmd", "*.r"], "rst": ["*.rst"], "ruby": ["*.gemspec", "*.rb", "Gemfile", "Rakefile"], "rust": ["*.rs"], "scala": ["*.sbt", "*.scala"], "sh": ["*.bash", "*.sh", "*.zsh"],
+    "sql": ["*.sql"], "swift": ["*.swift"], "tex": ["*.bib", "*.cls", "*.sty", "*.tex"], "toml": ["*.toml"], "ts": ["*.ts", "*.tsx"], "txt": ["*.txt"], "xml": ["*.xml", "*.xsd", "*.xsl"], "yaml": ["*.yaml", "*.yml"],
+}
 #: Bytes of a file with a hidden name that the driver may read.
 SPECIAL = 16 << 20
 ENCODINGS = {"auto", "utf-8", "utf-16le", "utf-16be", "euc-kr"}
@@ -83,6 +95,41 @@ def _special(spark: SparkSession, root: str) -> list[tuple[str, bytes]]:
     return out
 
 
+def local_folder(root: str) -> Path | None:
+    """The folder of a root on the driver's own disk; None for other stores, which have neither links nor files around the root."""
+    scheme, sep, rest = root.partition("://")
+    path = Path(rest if sep else root.removeprefix("file:"))
+    return path.resolve() if (not sep or scheme == "file") and path.is_dir() else None
+
+
+def links_in(folder: Path) -> list[str]:
+    """Symbolic links under a folder, as paths relative to it."""
+    out = []
+    for top, dirs, names in os.walk(folder):
+        out += [os.path.relpath(os.path.join(top, x), folder) for x in (*dirs, *names) if os.path.islink(os.path.join(top, x))]
+    return sorted(out)
+
+
+def outer_rules(folder: Path) -> tuple[str, list[tuple[str, str]]]:
+    """What is ignored by files outside a folder: (the folder's path below the repository it is in, rules in order: the user's own, the repository's, those of the
+    folders in between). Folders of rules are relative to the repository, or to the folder where there is none."""
+    top = next((p for p in (folder, *folder.parents) if (p / ".git").exists()), folder)
+    user = Path(os.environ.get("XDG_CONFIG_HOME") or Path.home() / ".config") / "git" / "ignore"
+    files = [("", user), ("", top / ".git" / "info" / "exclude")]
+    for p in reversed([p for p in folder.parents if p == top or top in p.parents]):
+        files += [(p.relative_to(top).as_posix().removeprefix("."), p / name) for name in (".gitignore", ".ignore")]
+    rules = [(base, line) for base, f in files if f.is_file() for line in f.read_text("utf-8", "replace").splitlines()]
+    return folder.relative_to(top).as_posix().removeprefix("."), rules
+
+
+def default_paths(paths: list[str], piped: bool | None = None) -> list[str]:
+    """The paths themselves; without any, standard input if something is piped into it, else the current folder."""
+    if paths:
+        return list(paths)
+    piped = not (sys.stdin is None or sys.stdin.isatty()) if piped is None else piped
+    return ["-"] if piped else ["."]
+
+
 def present(spark: SparkSession, path: str, issues: list[tuple[str, str, str]]) -> bool:
     """Whether a path can be listed; if not, an issue says why."""
     top = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -103,9 +150,11 @@ def issue_rows(spark: SparkSession, issues: list[tuple[str, str, str]], files: D
     return out
 
 
-def read_files(spark: SparkSession, paths: list[str], globs: list[str] = (), types: list[str] = (), define: list[str] = (), hidden: bool = False, no_ignore: bool = False, explicit: list[str] = (), issues: list[tuple[str, str, str]] | None = None) -> DataFrame:
+def read_files(spark: SparkSession, paths: list[str], globs: list[str] = (), types: list[str] = (), define: list[str] = (), hidden: bool = False, no_ignore: bool = False, explicit: list[str] = (), issues: list[tuple[str, str, str]] | None = None, follow: bool = False, stdin: IO[bytes] | None = None) -> DataFrame:
     """path (relative to the root it was found under), content, length. globs beginning with ! exclude; explicit files are read whatever the rules say.
 
+    The path - is standard input (stdin), which is read once however often it is named. Symbolic links are passed over unless follow is set; ignore files count from the repository's root on.
+
     issues: where given, a path that is not there is noted in it and passed over, and files that vanish or are broken when they are read are passed over; else they are errors."""
     kinds = {k: list(v) for k, v in TYPES.items()}
     for d in define:
@@ -113,10 +162,14 @@ def read_files(spark: SparkSession, paths: list[str], globs: list[str] = (), typ
         kinds.setdefault(name, []).append(g)
     out = None
     roots, calm = list(dict.fromkeys(paths or ["."])), issues is not None
+    if "-" in roots:
+        roots.remove("-")
+        data = (stdin or sys.stdin.buffer).read()
+        out = spark.createDataFrame([("-", bytearray(data), len(data))], "path string, content binary, length long")
     if calm:
         roots, explicit = [p for p in roots if present(spark, p, issues)], [p for p in explicit if present(spark, p, issues)]
     source = lambda: spark.read.format("binaryFile").option("ignoreMissingFiles", calm).option("ignoreCorruptFiles", calm)
-    if not roots:
+    if not roots and out is None:
         out = spark.createDataFrame([], "path string, content binary, length long")
     for root in roots:
         raw = source().option("recursiveFileLookup", True).load(root)
@@ -126,11 +179,17 @@ def read_files(spark: SparkSession, paths: list[str], globs: list[str] = (), typ
         extra = [(p, bytearray(c), len(c)) for p, c in special]
         if extra:
             df = df.unionByName(spark.createDataFrame(extra, "path string, content binary, length long"))
+        folder = local_folder(root)
+        if folder and not follow:
+            for link in links_in(folder):
+                df = df.where((F.col("path") != link) & ~F.startswith("path", F.lit(f"{link}/")))
         if not no_ignore:
             files = sorted(((p, c) for p, c in special if p.rpartition("/")[2] in (".gitignore", ".ignore")), key=lambda x: (x[0].count("/"), x[0]))
             rules = [(p.rpartition("/")[0], line) for p, c in files for line in c.decode("utf-8", "replace").splitlines()]
+            below, outer = outer_rules(folder) if folder else ("", [])
+            rules = outer + [(f"{below}/{base}".strip("/"), line) for base, line in rules]
             if rules:
-                df = df.where(~ignored(F.col("path"), rules))
+                df = df.where(~ignored(F.concat(F.lit(f"{below}/" if below else ""), F.col("path")), rules))
         if not hidden:
             df = df.where(~F.col("path").rlike(r"(?:^|/)\."))
         yes, no = [g for g in globs if not g.startswith("!")], [g[1:] for g in globs if g.startswith("!")]

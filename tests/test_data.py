@@ -69,3 +69,33 @@ def test_context_records(spark):
     out = sinks.json_lines(found, "doc_id", search.context(df, found, "doc_id", 1, 1)).orderBy("order").collect()
     kinds = [(r["type"], r.get("line_number")) for r in (json.loads(x.json) for x in out)]
     assert kinds == [("context", 1), ("match", 2), ("context", 3), ("context_break", None), ("context", 6), ("match", 7), ("context", 8)]
+
+
+def test_links_outer_rules_and_standard_input(spark, tmp_path, monkeypatch):
+    import io
+
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "config"))
+    (tmp_path / "config" / "git").mkdir(parents=True)
+    (tmp_path / "config" / "git" / "ignore").write_text("*.own\n")
+    top = tmp_path / "repo"
+    (top / ".git" / "info").mkdir(parents=True)
+    (top / ".git" / "info" / "exclude").write_text("secret.*\n")
+    (top / ".gitignore").write_text("*.log\n/sub/rooted.txt\n")
+    sub = top / "sub"
+    (sub / "deep").mkdir(parents=True)
+    for name in ("a.txt", "b.log", "c.own", "secret.txt", "rooted.txt", "deep/rooted.txt", "deep/kept.log"):
+        (sub / name).write_text("x")
+    (sub / "deep" / ".gitignore").write_text("!kept.log\n")
+    (sub / "link.txt").symlink_to(sub / "a.txt")
+    (sub / "linked").symlink_to(sub / "deep")
+    names = lambda **given: sorted(r.path for r in files.read_files(spark, [str(sub)], **given).select("path").collect())
+    assert names() == ["a.txt", "deep/kept.log", "deep/rooted.txt"]
+    assert "link.txt" in names(follow=True) and {"b.log", "c.own", "secret.txt", "rooted.txt"} <= set(names(no_ignore=True))
+    data = io.BytesIO(b"piped lion")
+    both = files.read_files(spark, ["-", str(sub), "-"], stdin=data).collect()
+    assert [bytes(r.content) for r in both if r.path == "-"] == [b"piped lion"] and len(both) == 4
+    assert files.default_paths([], piped=True) == ["-"] and files.default_paths([], piped=False) == ["."] and files.default_paths(["x"], piped=True) == ["x"]
+
+
+def test_numbers_of_context_lines():
+    assert [search.around(*x) for x in [(), (3,), (3, 1), (3, None, 0), (None, None, 2)]] == [(0, 0), (3, 3), (1, 3), (3, 0), (0, 2)]
