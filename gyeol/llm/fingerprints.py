@@ -58,7 +58,7 @@ def blocks(docs: DataFrame, doc_id: Column, fp: Column) -> Column:
     of = lambda xs: F.get(F.array(*[F.lit(float(x)) for x in xs]), at - 1)
     inside = (doc_id.cast("double") - of(cuts)) / of([max(b - a, 1) for a, b in zip(cuts, [*cuts[1:], cuts[-1] + 1], strict=True)])
     block = at.cast("long") * F.lit(1 << 32) + F.least(F.floor(inside * parts), F.lit(parts - 1)).cast("long")
-    return F.coalesce(block, F.conv(F.substring(fp, 1, 4), 16, 10).cast("long") - (1 << 16))
+    return F.coalesce(block, F.conv(F.substring(fp, 1, 4), 16, 10).cast("long") - (1 << 16), F.lit(-1).cast("long"))
 
 
 def successors(docs: DataFrame) -> DataFrame:
