@@ -48,9 +48,9 @@ def classes(docs: DataFrame) -> DataFrame:
     return held.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs")).drop("canon")
 
 
-def blocks(docs: DataFrame, doc_id: Column, fp: Column) -> Column:
+def blocks(docs: DataFrame, doc_id: Column, order: Column) -> Column:
     """The number of a row's block; blocks are in the order of rows. Quantiles of all ids cut them into CUTS parts of about as many rows, each of which is dealt evenly, so ids that lie far
-    from all others, or ids spread over all 64 bits, do not put many rows into one block. Rows without an id are dealt by fp, the next key of their order."""
+    from all others, or ids spread over all 64 bits, do not put many rows into one block. Rows without an id are dealt by order, a 64-bit hash and the next key of their order."""
     got = docs.agg(F.percentile_approx("doc_id", [k / CUTS for k in range(CUTS + 1)], 20 * CUTS).alias("q"), F.min("doc_id").alias("lo"), F.count("doc_id").alias("n")).first()
     cuts = sorted({got.lo, *got.q}) if got.n else [0]
     parts = max(1, got.n // (CUTS * BLOCK))
@@ -58,7 +58,7 @@ def blocks(docs: DataFrame, doc_id: Column, fp: Column) -> Column:
     of = lambda xs: F.get(F.array(*[F.lit(float(x)) for x in xs]), at - 1)
     inside = (doc_id.cast("double") - of(cuts)) / of([max(b - a, 1) for a, b in zip(cuts, [*cuts[1:], cuts[-1] + 1], strict=True)])
     block = at.cast("long") * F.lit(1 << 32) + F.least(F.floor(inside * parts), F.lit(parts - 1)).cast("long")
-    return F.coalesce(block, F.conv(F.substring(fp, 1, 4), 16, 10).cast("long") - (1 << 16), F.lit(-1).cast("long"))
+    return F.coalesce(block, F.shiftright(order, 48) - (1 << 17), F.lit(-1).cast("long"))
 
 
 def successors(docs: DataFrame) -> DataFrame:
@@ -68,10 +68,10 @@ def successors(docs: DataFrame) -> DataFrame:
     successor through the first documents of the blocks, of which only ids are sorted, in blocks again.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("canon", canonical(F.col("text"))).withColumn("fp", fingerprint(F.col("canon"))).drop("canon")
     # never null, so that no filter on it is pushed below the exchange and all branches share one
-    base = base.withColumn("block", blocks(base, F.col("doc_id"), F.col("fp")))
-    w = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "fp", F.xxhash64("text"))
+    base = base.withColumn("block", blocks(base, F.col("doc_id"), F.xxhash64("text")))
+    base = base.withColumn("canon", canonical(F.col("text"))).withColumn("fp", fingerprint(F.col("canon"))).drop("canon")
+    w = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "fp")
     mine = base.select("*", F.lead("text").over(w).alias("next_text"), F.lead("fp").over(w).alias("next_fp"), F.lag(F.lit(True)).over(w).isNull().alias("head"))
     # the block after each block, by ids alone; its first document comes from the same exchange as all the others
     sup = Window.partitionBy("sup").orderBy("block")
