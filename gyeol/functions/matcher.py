@@ -49,6 +49,7 @@ class Matcher:
             raise ComponentResourceRequired(plan.query)
         self.plan, self.components = plan, components
         self.by_atom: list[dict[str, list[tuple[str, Program]]]] = []
+        self.looked_at: set[tuple[int, int]] | None = None  # tokens that decisions by structure have looked at, while they are counted
         self.starts: list[re.Pattern] = []
         self.single: list[str | None] = []  # the anchor of an atom that has one only
         for a in plan.atoms:
@@ -89,12 +90,23 @@ class Matcher:
                 return None
             end, more = n, ("structural.ending-path",)
         if p.structural:
+            if self.looked_at is not None:
+                self.looked_at.add(self.token(text, at, end))
             if not self.components.accepts(text, at, end, p, more, self.plan):
                 return None
         elif (p.left and self.inside_left(text, at)) or (p.right and self.inside_right(text, end)):
             return None
         return Span(at, end, at, at + p.core, tuple(sorted({(i, r + more) for i, r in p.origins})))
 
+    @staticmethod
+    def token(text: str, at: int, end: int) -> tuple[int, int]:
+        """The token around a span."""
+        while Matcher.inside_left(text, at):
+            at -= 1
+        while Matcher.inside_right(text, end):
+            end += 1
+        return at, end
+
     @staticmethod
     def inside_left(text: str, at: int) -> bool:
         return at > 0 and H.is_token_char(text[at - 1])
@@ -234,14 +246,22 @@ class Matcher:
         return None
 
     def counters(self, text: str) -> dict[str, int]:
-        """Anchor hits and how many programs passed, for one text."""
-        hits = passed = 0
+        """Of one text: anchor hits, programs that passed, those of them that a decision by structure let pass, and the tokens such decisions looked at."""
+        hits = passed = structural = 0
+        self.looked_at = set()
         for atom, first in enumerate(self.by_atom):
             for i in self.places(text, atom):
                 here = [p for anchor, p in first.get(text[i], ()) if text.startswith(anchor, i)]
                 hits += len({p.anchor for p in here})
-                passed += sum(self.run(text, i, p) is not None for p in here)
-        return {"raw_anchor_hits": hits, "verified_program_hits": passed}
+                good = [p for p in here if self.run(text, i, p) is not None]
+                passed += len(good)
+                structural += sum(bool(p.structural) for p in good)
+        windows, self.looked_at = len(self.looked_at), None
+        return dict(zip(COUNTERS, (hits, passed, structural, windows), strict=True))
+
+
+#: What is counted, in the order of counters().
+COUNTERS = ("raw_anchor_hits", "verified_program_hits", "structural_hits", "structural_windows")
 
 
 def byte_offsets(text: str, places: list[int]) -> dict[int, int]:

@@ -307,11 +307,18 @@ def sql_function(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT doc_id, CAST(size(spans_of_tion(text)) AS BIGINT) AS n FROM searched")
 
 
-@query("verification_counters", "SELECT CAST(sum(len(string_split(text, 'clown')) - 1) AS BIGINT) AS raw_anchor_hits, CAST(sum(len(string_split(text, 'clown')) - 1) AS BIGINT) AS verified_program_hits FROM documents")
+@query("verification_counters", "SELECT CAST(sum(len(string_split(text, 'clown')) - 1) AS BIGINT) AS raw_anchor_hits, CAST(sum(len(string_split(text, 'clown')) - 1) AS BIGINT) AS verified_program_hits, CAST(0 AS BIGINT) AS structural_hits, CAST(0 AS BIGINT) AS structural_windows FROM documents")
 def verification_counters(spark: SparkSession, d: str) -> DataFrame:
     return search.verification_counters(docs(spark, d), "clown", LITERAL)
 
 
+@query("structural_counters", f"""SELECT count(*) AS raw_anchor_hits, count(*) AS structural_hits, count(*) AS structural_windows FROM documents WHERE doc_id % {N} IN (2, 6)""")
+def structural_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions by the parts of tokens: one token in each of two sentences holds the anchor once, and is let pass."""
+    got = search.verification_counters(korean(spark, d), "n:권한", components=PARTS)
+    return got.select("raw_anchor_hits", "structural_hits", "structural_windows")
+
+
 @query("quality_metrics", f"""WITH {KO}, c AS (SELECT contains(text, '길') AS got, doc_id % {N} IN (0, 3) AS expected FROM ko)
 SELECT *, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM (SELECT count(*) FILTER (got AND expected) AS tp, count(*) FILTER (got AND NOT expected) AS fp, count(*) FILTER (NOT got AND NOT expected) AS tn, count(*) FILTER (NOT got AND expected) AS fn FROM c)""")
 def quality_metrics(spark: SparkSession, d: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyeol.functions.matcher import MATCHES, Matcher, byte_offsets
+from gyeol.functions.matcher import COUNTERS, MATCHES, Matcher, byte_offsets
 from gyeol.functions.structure import Components
 from gyeol.plans.compiler import Plan, compile_query
 from gyeol.plans.lexer import Options
@@ -271,18 +271,17 @@ def many(df: DataFrame, queries: dict[str, str | Plan], options: Options | None
 
 
 def verification_counters(df: DataFrame, query: str | Plan, options: Options | None = None, text: str = "text", components: Components | None = None, lexicon: Lexicon | None = None) -> DataFrame:
-    """One row: raw_anchor_hits, verified_program_hits over all texts."""
+    """One row: raw_anchor_hits, verified_program_hits, structural_hits, structural_windows over all texts."""
     plan = plan_of(query, options, lexicon)
     src = candidate_lines(df, plan, text, [])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(plan, components)
         for b in batches:
-            got = [m.counters(t) for t in b["line"].to_pylist()]
-            names = ["raw_anchor_hits", "verified_program_hits"]
-            yield pa.RecordBatch.from_arrays([pa.array([sum(g[n] for g in got)], pa.int64()) for n in names], names)
+            got = [m.counters(t) for t in decoded(b["line"])]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(g[n] for g in got)], pa.int64()) for n in COUNTERS], list(COUNTERS))
 
-    out = src.mapInArrow(rows, "raw_anchor_hits bigint, verified_program_hits bigint")
+    out = src.mapInArrow(rows, ", ".join(f"{n} bigint" for n in COUNTERS))
     return out.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in out.columns])
 
 

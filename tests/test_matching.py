@@ -65,7 +65,7 @@ def test_limits_and_find_at():
     with pytest.raises(MatchLimitExceeded):
         m.find_all("aaa", 2)
     assert m.find_at("xaxa", 2)[0].start == 3 and m.find_at("x", 0) is None
-    assert m.counters("aa") == {"raw_anchor_hits": 2, "verified_program_hits": 2}
+    assert m.counters("aa") == {"raw_anchor_hits": 2, "verified_program_hits": 2, "structural_hits": 0, "structural_windows": 0}
     assert byte_offsets("é길a", [0, 1, 2, 3]) == {0: 0, 1: 2, 2: 5, 3: 6}
 
 
