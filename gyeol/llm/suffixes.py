@@ -253,10 +253,10 @@ def windows_of_words(docs: DataFrame, bits) -> DataFrame:  # noqa: ANN001
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = once(("anchors",), Anchors)
         for b in batches:
-            h, n, at, w, size = [], [], [], [], 0
+            ids, h, n, at, w, size = b.select(["doc_id", "d"]), [], [], [], [], 0
             for i in range(b.num_rows + 1):
                 if i == b.num_rows or size >= CHUNK:
-                    one = b.take(pa.array(np.repeat(at, n))) if at else b.slice(0, 0)
+                    one = ids.take(pa.array(np.repeat(at, n))) if at else ids.slice(0, 0)  # without the texts: a document has a row for each of its grams
                     ends = pa.array(np.concatenate([[0], *(e for e in h_ends(h))]).astype(np.int32)) if h else pa.array([0], pa.int32())
                     flat = pa.array(np.concatenate(w)) if w else pa.array([], pa.int32())
                     grams = pa.array(np.concatenate([g for g, _ in h])) if h else pa.array([], pa.int64())
