@@ -25,11 +25,15 @@ from gyeol.plans.lexicon import Lexicon
 CONTAINS = 48
 #: Compiled queries that a task of first_by_row() keeps.
 PLANS = 1_000
+#: Matches after which a batch of found lines goes out.
+FOUND = 4_096
 #: A character of a token, as Java's regular expressions put it.
 TOKEN = r"[\p{IsAlphabetic}\p{Nd}\p{Nl}\p{No}\p{M}_]"
 ORIGIN = "array<struct<analysis:int,lemma:string,pos:string,rules:array<string>>>"
 ATOM = f"struct<start:bigint,end:bigint,core_start:bigint,core_end:bigint,surface:string,origins:{ORIGIN}>"
-MATCH = f"match_index int, start bigint, end bigint, column bigint, surface string, atoms array<{ATOM}>"
+#: The column of a line's matches between the kernel and their rows.
+HELD = "__matches"
+ARRAY = f"array<struct<match_index:int,start:bigint,end:bigint,column:bigint,surface:string,atoms:array<{ATOM}>>>"
 
 
 def plan_of(query: str | Plan, options: Options | None = None, lexicon: Lexicon | None = None) -> Plan:
@@ -75,10 +79,10 @@ def candidate_lines(df: DataFrame, plan: Plan, text: str = "text", keep: list[st
     return lines(df, text, keep, candidate(F.col(text), plan)).where(candidate(F.col("line"), plan))
 
 
-def decoded(column: pa.Array) -> list[str | None]:
-    """The lines of a batch. Bytes that are no UTF-8 become surrogates: they match nothing, and no phrase goes across them."""
-    raw = column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
-    return [None if x is None else x.decode("utf-8", "surrogateescape") for x in raw]
+def decoded(column: pa.Array) -> Iterator[str | None]:
+    """The lines of a batch, one at a time. Bytes that are no UTF-8 become surrogates: they match nothing, and no phrase goes across them."""
+    raw = (x.as_py() for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()))
+    return (None if x is None else x.decode("utf-8", "surrogateescape") for x in raw)
 
 
 def shown(text: str) -> str:
@@ -87,33 +91,49 @@ def shown(text: str) -> str:
 
 
 def _kernel(plan: Plan, components: Components | None, mode: str, limit: int):  # noqa: ANN202
+    """spans: a row per line with its matches as one array, so that a line goes out once however many it has; exists: the lines that match."""
+    origin = pa.list_(pa.struct([("analysis", pa.int32()), ("lemma", pa.string()), ("pos", pa.string()), ("rules", pa.list_(pa.string()))]))
+    atom = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "end", "core_start", "core_end")] + [("surface", pa.string()), ("origins", origin)]))
+    match = pa.struct([("match_index", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("column", pa.int64()), ("surface", pa.string()), ("atoms", atom)])
+
+    def of_line(t: str, m: Matcher, kinds: list[tuple[str, str]] | None) -> list[dict]:
+        every = m.find_all(t, limit)
+        off = byte_offsets(t, [x for spans in every for s in spans for x in (s.start, s.end, s.core_start, s.core_end)])
+        found = []
+        for k, spans in enumerate(every):
+            atoms = []
+            for n, s in enumerate(spans):
+                names = kinds or [(a.lemma, a.pos) for a in plan.atoms[n].analyses]
+                atoms.append({
+                    "start": off[s.start], "end": off[s.end], "core_start": off[s.core_start], "core_end": off[s.core_end], "surface": shown(t[s.start : s.end]),
+                    "origins": [{"analysis": i, "lemma": names[i][0], "pos": names[i][1], "rules": list(r)} for i, r in s.origins],
+                })
+            a, b = spans[0].start, spans[-1].end
+            found.append({"match_index": k, "start": off[a], "end": off[b], "column": a + 1, "surface": shown(t[a:b]), "atoms": atoms})
+        return found
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(plan, components)
         kinds = [(a.lemma, a.pos) for p in plan.atoms for a in p.analyses] if len(plan.atoms) == 1 else None
         for b in batches:
-            texts = decoded(b["line"])
             if mode == "exists":
-                yield b.filter(pa.array([t is not None and m.exists(t) for t in texts], pa.bool_()))
+                yield b.filter(pa.array([t is not None and m.exists(t) for t in decoded(b["line"])], pa.bool_()))
                 continue
-            take, found = [], []
-            for i, t in enumerate(texts):
-                for k, spans in enumerate(m.find_all(t, limit) if t else []):
-                    off = byte_offsets(t, [x for s in spans for x in (s.start, s.end, s.core_start, s.core_end)])
-                    atoms = []
-                    for n, s in enumerate(spans):
-                        names = kinds or [(a.lemma, a.pos) for a in plan.atoms[n].analyses]
-                        atoms.append({
-                            "start": off[s.start], "end": off[s.end], "core_start": off[s.core_start], "core_end": off[s.core_end], "surface": shown(t[s.start : s.end]),
-                            "origins": [{"analysis": i_, "lemma": names[i_][0], "pos": names[i_][1], "rules": list(r)} for i_, r in s.origins],
-                        })
+
+            def held(take: list[int], found: list[list[dict]], b: pa.RecordBatch = b) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([*b.take(pa.array(take, pa.int64())).columns, pa.array(found, pa.list_(match))], [*b.schema.names, HELD])
+
+            take, found, n = [], [], 0
+            for i, t in enumerate(decoded(b["line"])):
+                if t and (got := of_line(t, m, kinds)):
                     take.append(i)
-                    found.append((k, off[spans[0].start], off[spans[-1].end], spans[0].start + 1, shown(t[spans[0].start : spans[-1].end]), atoms))
-            origin = pa.list_(pa.struct([("analysis", pa.int32()), ("lemma", pa.string()), ("pos", pa.string()), ("rules", pa.list_(pa.string()))]))
-            atom = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "end", "core_start", "core_end")] + [("surface", pa.string()), ("origins", origin)]))
-            kinds_ = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), atom]
-            cols = [pa.array([f[j] for f in found], kinds_[j]) for j in range(6)]
-            held = b.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*held.columns, *cols], [*b.schema.names, "match_index", "start", "end", "column", "surface", "atoms"])
+                    found.append(got)
+                    n += len(got)
+                if n >= FOUND:
+                    yield held(take, found)
+                    take, found, n = [], [], 0
+            if take:
+                yield held(take, found)
 
     return rows
 
@@ -127,7 +147,8 @@ def find_all(df: DataFrame, query: str | Plan, options: Options | None = None, t
     plan = plan_of(query, options, lexicon)
     Matcher(plan, components)
     src = candidate_lines(df, plan, text, keep)
-    return src.mapInArrow(_kernel(plan, components, "spans", limit), f"{schema_of(src)}, {MATCH}")
+    found = src.mapInArrow(_kernel(plan, components, "spans", limit), f"{schema_of(src)}, {HELD} {ARRAY}")
+    return found.select(*src.columns, F.inline(HELD))
 
 
 def matching_lines(df: DataFrame, query: str | Plan, options: Options | None = None, text: str = "text", keep: list[str] | None = None, components: Components | None = None, lexicon: Lexicon | None = None) -> DataFrame:
@@ -267,7 +288,8 @@ def many(df: DataFrame, queries: dict[str, str | Plan], options: Options | None
                 for out in f(iter([b])):
                     yield pa.RecordBatch.from_arrays([*out.columns, pa.array([k] * out.num_rows, pa.string())], [*out.schema.names, "query"])
 
-    return src.mapInArrow(rows, f"{schema_of(src)}, {MATCH}, query string")
+    found = src.mapInArrow(rows, f"{schema_of(src)}, {HELD} {ARRAY}, query string")
+    return found.select(*src.columns, F.inline(HELD), "query")
 
 
 def verification_counters(df: DataFrame, query: str | Plan, options: Options | None = None, text: str = "text", components: Components | None = None, lexicon: Lexicon | None = None) -> DataFrame:

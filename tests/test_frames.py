@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,21 @@ def test_native_and_kernel_agree(spark):
     assert sorted(a) == sorted(b) and len(a) == 7
 
 
+def test_a_line_goes_out_once(spark):
+    """What the kernel returns grows with the lines and with the matches, not with their product."""
+    line = "é X " * 2_000
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "line": [line, "-", line]})
+    out = list(search._kernel(compile_query("X", LITERAL), None, "spans", 65_536)(iter([batch])))
+    assert sum(len(x) for b in out for x in b["line"].to_pylist()) == 2 * len(line)
+    df = spark.createDataFrame([(k, line + "\n-\n" + line) for k in range(3)], "id int, text string")
+    cols = ["id", "line_number", "byte_offset", "match_index", "start", "end", "column"]
+    got = search.find_all(df, "X", LITERAL)
+    assert sorted(got.select(cols).collect()) == sorted(search.literal_spans(df, "X").select(cols).collect()) and got.count() == 12_000
+    assert got.where(F.col("line") != line).isEmpty() and got.select(F.sum(F.size("atoms"))).first()[0] == 12_000
+    q = search.many(df, {"a": "X", "b": "é"}, LITERAL)
+    assert q.columns == [*got.columns, "query"] and q.groupBy("query").count().orderBy("query").collect() == [("a", 12_000), ("b", 12_000)]
+
+
 def test_lines_and_offsets(spark):
     df = spark.createDataFrame([(1, "é\n\nb\n"), (2, "x\r\ny")], "id int, text string")
     assert [tuple(r) for r in search.lines(df).orderBy("id", "line_number").collect()] == [(1, 1, 0, "é"), (1, 2, 3, ""), (1, 3, 4, "b"), (2, 1, 0, "x\r"), (2, 2, 3, "y")]
