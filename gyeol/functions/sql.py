@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gyeol.functions.matcher import Matcher, byte_offsets
 from gyeol.functions.structure import Components
-from gyeol.plans.compiler import compile_query
+from gyeol.plans.compiler import compile_query, least
 from gyeol.plans.lexer import Options
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
@@ -24,11 +24,12 @@ def spans(query: str, options: Options | None = None, components: Components | N
     @F.pandas_udf(SPANS)
     def found(texts: pd.Series) -> pd.Series:
         m = Matcher(plan, components)
+        needed = [least(anchors) for anchors in plan.anchors]
 
         def one(t: str | None) -> list[dict] | None:
             if t is None:
                 return None
-            if not all(any(a in t for a in anchors) for anchors in plan.anchors):
+            if not all(any(a in t for a in anchors) for anchors in needed):
                 return []
             got = m.find_all(t)
             off = byte_offsets(t, [x for s in got for x in (s[0].start, s[-1].end)])

@@ -7,6 +7,7 @@ Every function returns an ordinary DataFrame, none of them shuffles unless it gr
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 
 from gyeol.functions.matcher import COUNTERS, MATCHES, Matcher, byte_offsets
 from gyeol.functions.structure import Components
-from gyeol.plans.compiler import Plan, compile_query
+from gyeol.plans.compiler import Plan, compile_query, least
 from gyeol.plans.lexer import Options
 from gyeol.plans.lexicon import Lexicon
 
-#: Anchors up to which substring tests are used; more become one alternation.
+#: Anchors up to which substring tests are used; more become one alternation for each first character, or one for all.
 CONTAINS = 48
 #: Compiled queries that a task of first_by_row() keeps.
 PLANS = 1_000
@@ -41,12 +42,20 @@ def plan_of(query: str | Plan, options: Options | None = None, lexicon: Lexicon
 
 
 def any_anchor(c: Column, anchors: list[str]) -> Column:
-    if len(anchors) > CONTAINS:
-        return c.rlike("|".join(re.sub(r"([\\.\[\]{}()*+?^$|])", r"\\\1", a) for a in anchors))
-    out = F.contains(c, F.lit(anchors[0]))
-    for a in anchors[1:]:
-        out = out | F.contains(c, F.lit(a))
-    return out
+    """Whether a text has one of the anchors. Those that begin alike are looked for only where their common beginning stands: most texts take one search for each first character."""
+    anchors, alike, tests = least(anchors), {}, []
+    for a in anchors:
+        alike.setdefault(a[0], []).append(a)
+    if len(alike) > CONTAINS:
+        return c.rlike(alternation(anchors))
+    for same in alike.values():
+        one = reduce(lambda a, b: a | b, [F.contains(c, F.lit(a)) for a in same]) if len(anchors) <= CONTAINS or len(same) == 1 else c.rlike(alternation(same))
+        tests.append(one if len(same) == 1 else F.contains(c, F.lit(os.path.commonprefix(same))) & one)
+    return reduce(lambda a, b: a | b, tests)
+
+
+def alternation(anchors: list[str]) -> str:
+    return "|".join(re.sub(r"([\\.\[\]{}()*+?^$|])", r"\\\1", a) for a in anchors)
 
 
 def candidate(c: Column, plan: Plan) -> Column:

@@ -85,6 +85,12 @@ class Plan:
         return not any("\n" in x for a in self.anchors for x in a)
 
 
+def least(anchors: list[str]) -> list[str]:
+    """The anchors that hold no other one: a text has one of these if it has any."""
+    own, sizes = set(anchors), sorted({len(a) for a in anchors})
+    return [a for a in dict.fromkeys(anchors) if not any(a[i : i + n] in own for n in sizes if n < len(a) for i in range(len(a) - n + 1))]
+
+
 @dataclass
 class Draft:
     anchor: str

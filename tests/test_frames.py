@@ -44,6 +44,20 @@ def test_prefilters_reach_the_scan(spark):
     assert "Or(StringContains(text,a1),StringContains(text,b2))" in p and "lang" not in p.split("ReadSchema")[1]
 
 
+def test_anchors_are_tested_by_their_beginnings(spark):
+    """Anchors that hold another one are not looked for at all, the others by one alternation only where their beginning stands."""
+    df = spark.createDataFrame([(1, "a")], "id int, text string")
+    plan = compile_query("n:검증", Options(expand="derivation", boundary="token"))
+    p = plan_text(search.find_all(df, plan))
+    assert len(plan.anchors[0]) > search.CONTAINS and "RLIKE" not in p and "Contains(text" in p and "검증하" not in p
+    alike, apart = [f"q{k}z" for k in range(60)], [chr(0xAC00 + k) + "a" for k in range(60)]
+    texts = ["", None, "ab", "xa", "bxc", "b.c", "b(", "q", "q59", "q59z", "q5z", "길", apart[59], apart[59][0], apart[7] + "b", "aq7z", "q가a", "r1z", "r1"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for anchors in (["ab", "xabc", "b.c", "b(", "b(c"], alike, apart, alike[:30] + ["r" + x[1:] for x in alike[:30]], [*apart[:20], *alike, "ab"], ["q", *alike]):
+        got = [r[0] for r in frame.select(search.any_anchor(F.col("t"), anchors)).collect()]
+        assert got == [None if t is None else any(a in t for a in anchors) for t in texts]
+
+
 def test_native_and_kernel_agree(spark):
     df = spark.createDataFrame([(1, "aXbXX\nX\n\nüX길X"), (2, None), (3, ""), (4, "X")], "id int, text string")
     cols = ["id", "line_number", "byte_offset", "match_index", "start", "end", "column"]
