@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a batch that goes to a Python worker. Rows alone, which Spark counts, do not bound memory: 10,000 long documents are gigabytes.
-BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+from gyeol.functions.batches import in_batches  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,14 +32,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def in_batches(df: DataFrame) -> DataFrame:
-    """df, whose rows then go to Python workers in batches of about BATCH_BYTES, unless the session has a limit of its own."""
-    conf = df.sparkSession.conf
-    if conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
-        conf.set(BATCH_KEY, BATCH_BYTES)
-    return df
-
-
 def once(key: tuple, make: Callable[[], object]) -> object:
     """One object per worker process and key, whatever tasks come; only the last of each kind (key[0]) is kept."""
     kept = sys.__dict__.setdefault("_gyeol_kept", {})

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gyeol.functions.batches import in_batches
 from gyeol.functions.matcher import COUNTERS, MATCHES, Matcher, byte_offsets
 from gyeol.functions.structure import Components
 from gyeol.plans.compiler import Plan, compile_query, least
@@ -156,7 +157,7 @@ def find_all(df: DataFrame, query: str | Plan, options: Options | None = None, t
     plan = plan_of(query, options, lexicon)
     Matcher(plan, components)
     src = candidate_lines(df, plan, text, keep)
-    found = src.mapInArrow(_kernel(plan, components, "spans", limit), f"{schema_of(src)}, {HELD} {ARRAY}")
+    found = in_batches(src).mapInArrow(_kernel(plan, components, "spans", limit), f"{schema_of(src)}, {HELD} {ARRAY}")
     return found.select(*src.columns, F.inline(HELD))
 
 
@@ -167,7 +168,7 @@ def matching_lines(df: DataFrame, query: str | Plan, options: Options | None = N
     if literal_of(plan) is not None:
         return src
     Matcher(plan, components)
-    return src.mapInArrow(_kernel(plan, components, "exists", 1), src.schema)
+    return in_batches(src).mapInArrow(_kernel(plan, components, "exists", 1), src.schema)
 
 
 def literal_of(plan: Plan) -> list[str] | None:
@@ -212,7 +213,7 @@ def first_by_row(df: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
             cols = [pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "start", "end", "surface"])
 
-    return df.mapInArrow(rows, f"{schema_of(df)}, start bigint, end bigint, surface string")
+    return in_batches(df).mapInArrow(rows, f"{schema_of(df)}, start bigint, end bigint, surface string")
 
 
 # summaries
@@ -297,7 +298,7 @@ def many(df: DataFrame, queries: dict[str, str | Plan], options: Options | None
                 for out in f(iter([b])):
                     yield pa.RecordBatch.from_arrays([*out.columns, pa.array([k] * out.num_rows, pa.string())], [*out.schema.names, "query"])
 
-    found = src.mapInArrow(rows, f"{schema_of(src)}, {HELD} {ARRAY}, query string")
+    found = in_batches(src).mapInArrow(rows, f"{schema_of(src)}, {HELD} {ARRAY}, query string")
     return found.select(*src.columns, F.inline(HELD), "query")
 
 
@@ -312,7 +313,7 @@ def verification_counters(df: DataFrame, query: str | Plan, options: Options | N
             got = [m.counters(t) for t in decoded(b["line"])]
             yield pa.RecordBatch.from_arrays([pa.array([sum(g[n] for g in got)], pa.int64()) for n in COUNTERS], list(COUNTERS))
 
-    out = src.mapInArrow(rows, ", ".join(f"{n} bigint" for n in COUNTERS))
+    out = in_batches(src).mapInArrow(rows, ", ".join(f"{n} bigint" for n in COUNTERS))
     return out.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in out.columns])
 
 

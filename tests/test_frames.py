@@ -81,6 +81,24 @@ def test_a_line_goes_out_once(spark):
     assert q.columns == [*got.columns, "query"] and q.groupBy("query").count().orderBy("query").collect() == [("a", 12_000), ("b", 12_000)]
 
 
+def test_long_lines_go_in_small_batches(spark):
+    """The rows that reach the kernel at once are bounded by their bytes, unless the session has a limit of its own."""
+    key, sizes = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    df = spark.range(40, numPartitions=1).select("id", F.repeat(F.lit("X "), 250_000).alias("text"))
+    before = spark.conf.get(key)
+    try:
+        for own in ("67108864b", "2m"):
+            spark.conf.set(key, own)
+            found = search.matching_lines(df, "v:걷다 | X")
+            sizes.append(spark.conf.get(key))
+            assert found.count() == 40
+            spark.conf.set(key, own)
+            assert search.find_all(df, "zzz", LITERAL).isEmpty() and spark.conf.get(key) == sizes[-1]
+    finally:
+        spark.conf.set(key, before)
+    assert sizes == ["4m", "2m"]
+
+
 def test_lines_and_offsets(spark):
     df = spark.createDataFrame([(1, "é\n\nb\n"), (2, "x\r\ny")], "id int, text string")
     assert [tuple(r) for r in search.lines(df).orderBy("id", "line_number").collect()] == [(1, 1, 0, "é"), (1, 2, 3, ""), (1, 3, 4, "b"), (2, 1, 0, "x\r"), (2, 2, 3, "y")]
